@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import pii, quality
+from . import bpe, chat, jpeg, pii, quality
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op4_quality": quality.op4_quality,
+    "op7_jpeg": jpeg.op7_jpeg,
+    "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_chat": chat.OP8_SQL,
+}
