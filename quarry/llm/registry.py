@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jpeg, pii, quality
+from . import bpe, chat, jpeg, langid, packing, pii, quality
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op4_quality": quality.op4_quality,
+    "op5_langid": langid.op5_langid,
+    "op6_packing": packing.op6_packing,
     "op7_jpeg": jpeg.op7_jpeg,
     "op8_chat": chat.op8_chat,
     "op9_pii": pii.op9_pii,
