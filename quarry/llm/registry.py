@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jpeg, langid, packing, pii, quality
+from . import bpe, chat, jpeg, langid, neardup, packing, pii, quality
 
 QUERIES = {
+    "op10_neardup": neardup.op10_neardup,
     "op2_bpe": bpe.op2_bpe,
     "op4_quality": quality.op4_quality,
     "op5_langid": langid.op5_langid,
