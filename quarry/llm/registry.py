@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jpeg, langid, neardup, packing, pii, quality
+from . import bpe, chat, jpeg, katz, langid, neardup, packing, pii, quality
 
 QUERIES = {
+    "op1_katz": katz.op1_katz,
     "op10_neardup": neardup.op10_neardup,
     "op2_bpe": bpe.op2_bpe,
     "op4_quality": quality.op4_quality,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_katz": katz.OP1_SQL,
     "op8_chat": chat.OP8_SQL,
 }
