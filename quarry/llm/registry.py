@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jpeg, katz, langid, neardup, packing, pii, quality
+from . import bpe, chat, htmltext, jpeg, katz, langid, neardup, packing, pii, quality
 
 QUERIES = {
     "op1_katz": katz.op1_katz,
     "op10_neardup": neardup.op10_neardup,
     "op2_bpe": bpe.op2_bpe,
+    "op3_htmltext": htmltext.op3_htmltext,
     "op4_quality": quality.op4_quality,
     "op5_langid": langid.op5_langid,
     "op6_packing": packing.op6_packing,
