@@ -32,30 +32,31 @@ from .common import map_batches, prepare, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG_PIECE = 256
-#: Pieces, and units of text between blanks, that a worker remembers; longer ones are not kept.
-REMEMBER_PIECES, REMEMBER_UNITS = 800_000, 600_000
+#: A worker remembers this many pieces, and units of text between blanks, and about as many
+#: that came lately before them; longer ones are not kept.
+REMEMBER = 150_000
 LONG_UNIT = 48
 #: Pieces in one recursive query: bounds its memory.
-QUERY_PIECES = 20_000
+QUERY_PIECES = 10_000
 #: Ids in one decoding query.
 QUERY_IDS = 1 << 18
 #: White space as the tokenizer's own library has it (U+001C to U+001F are none).
 SPACE = r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+#: A row's key k is its piece and its place there; a pair's is its rank, then its place.
 ENCODE_SQL = """
-WITH RECURSIVE s(w, p, t, live) AS (
-  SELECT w, p, t, true FROM bytes
+WITH RECURSIVE s(k, t, live) AS (
+  SELECT w::BIGINT << 16 | p, t, true FROM bytes
   UNION ALL
   (WITH pairs AS (
-     SELECT w, p, t, lead(t) OVER piece AS u, lead(p) OVER piece AS q
-     FROM s WHERE live WINDOW piece AS (PARTITION BY w ORDER BY p)),
+     SELECT k, t, lead(t) OVER o AS u, lead(k) OVER o AS q FROM s WHERE live WINDOW o AS (ORDER BY k)),
    ranked AS (
-     SELECT a.w, a.p, a.t, a.q, m.id, m.id::BIGINT << 32 | a.p AS key
-     FROM pairs a LEFT JOIN merges m ON a.t = m.l AND a.u = m.r),
-   best AS (SELECT w, min(key) AS key, arg_min(q, key) AS q FROM ranked GROUP BY w)
-   SELECT r.w, r.p, CASE WHEN r.key = b.key THEN r.id ELSE r.t END, b.key IS NOT NULL
-   FROM ranked r JOIN best b ON r.w = b.w WHERE b.q IS NULL OR r.p <> b.q))
-SELECT w, list(t ORDER BY p) AS ids FROM s WHERE NOT live GROUP BY w ORDER BY w
+     SELECT a.k, a.t, a.q, m.id, m.id::BIGINT << 16 | (a.k & 65535) AS key
+     FROM pairs a LEFT JOIN merges m ON a.t = m.l AND a.u = m.r AND a.k >> 16 = a.q >> 16),
+   best AS (SELECT k >> 16 AS w, min(key) AS key, arg_min(q, key) AS q FROM ranked GROUP BY ALL)
+   SELECT r.k, CASE WHEN r.key = b.key THEN r.id ELSE r.t END, b.key IS NOT NULL
+   FROM ranked r JOIN best b ON r.k >> 16 = b.w WHERE b.q IS NULL OR r.k <> b.q))
+SELECT k >> 16 AS w, list(t ORDER BY k) AS ids FROM s WHERE NOT live GROUP BY ALL ORDER BY w
 """
 DECODE_SQL = """
 SELECT d, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
@@ -69,6 +70,24 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class Remembered(dict):
+    """A dict that lets go of what was not asked for lately."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """Those of keys that must be learned; the others are now in the dict."""
+        if len(self) > REMEMBER:
+            self.old = dict(self)
+            self.clear()
+        keys = keys.difference(self)
+        back = keys.intersection(self.old)
+        self.update(zip(back, map(self.old.__getitem__, back), strict=True))
+        return keys.difference(back)
+
+
 class Codec:
     """A vocabulary with its DuckDB connection; one for each worker."""
 
@@ -79,15 +98,14 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^" + SPACE[1:-1]).replace(r"\S", "[^" + SPACE[1:]).replace(r"\s", SPACE))
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         m = pa.table([pa.array(x, pa.int32()) for x in zip(*merges, strict=True)], names=["l", "r", "id"])  # noqa: F841
         v = pa.table([pa.array(list(self.ranks.values()), pa.int32()), pa.array([t.hex() for t in self.ranks])], names=["id", "hex"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         # ids as 4-byte words; units: what follows a blank, without it; bad: those that can't be encoded apart
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.pieces, self.units = Remembered(), Remembered()
         self.bad: set[str] = set()
 
     # encoding
@@ -122,6 +140,14 @@ class Codec:
         flat, ends = ids.values.to_numpy().astype(np.int32).tobytes(), ids.offsets.to_numpy() * 4
         return [flat[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
+    def _pieces(self, unit: str) -> list[str]:
+        """The pattern's matches in a unit; letters, and letters with one end sign, need no search."""
+        if unit[1:].isalpha():
+            return [unit]
+        if unit[-1] in ".,;:!?" and unit[1:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self.pattern.findall(unit)
+
     def _learn(self, wanted: set[str]) -> None:
         """Encode these pieces."""
         todo: list[tuple[str, bytes]] = []
@@ -144,26 +170,22 @@ class Codec:
         A single blank between two signs that are no white space begins a piece, so
         what lies between such blanks is encoded apart; other texts are cut whole.
         """
-        if len(self.units) > REMEMBER_UNITS:
-            self.units.clear()
-        if len(self.bad) > REMEMBER_UNITS // 10:
+        if len(self.bad) > REMEMBER:
             self.bad.clear()
-        if len(self.pieces) > REMEMBER_PIECES:
-            self.pieces.clear()
         cut = [t.split(" ") if t else [""] for t in texts]
         new: set[str] = set()
         for words in cut:
             new.update(words[1:])
-        new.difference_update(self.units, self.bad)
+        new = self.units.missing(new.difference(self.bad))
         apart = {u for u in new if u and not u[0].isspace() and not u[-1].isspace()}
-        found = {u: self.pattern.findall(" " + u) for u in apart}
+        found = {u: self._pieces(" " + u) for u in apart}
         # a first unit, and a text that isn't plain, are cut by themselves
         self.bad |= new.difference(apart)
         plain = [not words[0][-1:].isspace() and (not self.bad or self.bad.isdisjoint(words[1:])) for words in cut]
         alone = [self.pattern.findall(words[0] if p else t) if t else [] for words, p, t in zip(cut, plain, texts, strict=True)]
         wanted = set(chain.from_iterable(found.values()))
         wanted.update(chain.from_iterable(alone))
-        self._learn(wanted.difference(self.pieces))
+        self._learn(self.pieces.missing(wanted))
         piece = self.pieces.__getitem__
         self.units.update((u, b"".join(map(piece, p))) for u, p in found.items())
         unit = self.units.__getitem__
