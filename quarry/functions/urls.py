@@ -34,6 +34,11 @@ PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, SCHEME, 1))
 
@@ -80,20 +85,21 @@ def clean_query(url: Column) -> Column:
 
 def clean_path(url: Column) -> Column:
     """One slash for several, none at the end, / for nothing."""
-    p = F.regexp_replace(path(url), "/{2,}", "/")
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/+$", "")).otherwise(p)
-    return F.when(p == "", "/").otherwise(p)
+    p = F.regexp_replace(F.concat(F.regexp_replace(path(url), "/+", "/"), F.lit("/")), "/+$", "")
+    return F.coalesce(F.nullif(p, F.lit("")), F.lit("/"))
 
 
 def normalize(url: Column, keep_query: bool = True) -> Column:
     """The form by which URLs are compared; what has no host stays as it is, less its fragment."""
-    u = F.regexp_replace(F.trim(url), "#.*$", "")
-    s = F.when(scheme(u) == "", "https").otherwise(scheme(u))
-    port = F.regexp_extract(_host_port(u), r":(\d+)$", 1)
-    plain = (port == "") | ((s == "http") & (port == "80")) | ((s == "https") & (port == "443"))
-    q = clean_query(u) if keep_query else F.lit("")
-    full = F.concat(s, F.lit("://"), host(u), F.when(plain, "").otherwise(F.concat(F.lit(":"), port)), clean_path(u), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    return F.when(host(u) == "", u).otherwise(full)
+
+    def whole(u: Column) -> Column:
+        s = F.coalesce(F.nullif(scheme(u), F.lit("")), F.lit("https"))
+        port = F.regexp_replace(F.regexp_extract(_host_port(u), r"(:\d+)$", 1), "^:$", "")
+        origin = F.regexp_replace(F.concat(s, F.lit("://"), host(u), port), "^(http://.*):80$|^(https://.*):443$", "$1$2")
+        q = F.when(F.contains(u, F.lit("?")), F.regexp_replace(F.concat(F.lit("?"), clean_query(u)), r"^\?$", "")).otherwise("") if keep_query else F.lit("")
+        return F.when(host(u) == "", u).otherwise(F.concat(origin, clean_path(u), q))
+
+    return _let(F.regexp_replace(F.trim(url), "#.*$", ""), whole)
 
 
 def same_site(a: Column, b: Column) -> Column:
@@ -102,8 +108,7 @@ def same_site(a: Column, b: Column) -> Column:
 
 def dedupe_key(url: Column) -> Column:
     """Host, path and query: http and https, www and none, and all ports are one."""
-    n = normalize(url)
-    return F.concat(site_host(url), path(n), F.lit("?"), query(n))
+    return F.concat(site_host(url), _let(normalize(url), lambda n: F.concat(path(n), F.lit("?"), query(n))))
 
 
 def is_crawlable(url: Column) -> Column:
