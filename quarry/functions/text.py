@@ -68,58 +68,68 @@ def promises_destination(anchor: Column, brand: Column) -> Column:
     return ~own & t.rlike(rf"\d+\s*%|\bsave\b|\bcode\b|\b({words})\b")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(cleaned: Column) -> Column:
     """A cleaned number whose last separator is a decimal one, unless all are thousands."""
     dot, comma = F.contains(cleaned, F.lit(".")), F.contains(cleaned, F.lit(","))
-    last = F.regexp_extract(cleaned, r"([.,])[^.,]*$", 1)
-    both = F.when(last == ".", F.regexp_replace(cleaned, ",", "")).otherwise(F.regexp_replace(F.regexp_replace(cleaned, r"\.", ""), ",", "."))
-    commas = F.when(cleaned.rlike(r"^-?\d{1,3}(,\d{3})+$"), F.regexp_replace(cleaned, ",", "")).otherwise(F.regexp_replace(cleaned, ",", "."))
-    dots = F.when(cleaned.rlike(r"^-?\d{1,3}(\.\d{3})+$"), F.regexp_replace(cleaned, r"\.", "")).otherwise(cleaned)
-    text = F.when(dot & comma, both).when(comma, commas).when(dot, dots).otherwise(cleaned)
-    return F.when(text.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), text.try_cast("double"))
+    thousands = cleaned.rlike(r"^-?\d{1,3}(,\d{3})+$|^-?\d{1,3}(\.\d{3})+$")
+    comma_last = cleaned.rlike(r",[^.,]*$")
+    text = (
+        F.when(dot & comma & comma_last, F.translate(F.translate(cleaned, ".", ""), ",", "."))
+        .when(dot & comma, F.translate(cleaned, ",", ""))
+        .when(thousands, F.translate(cleaned, ".,", ""))
+        .otherwise(F.translate(cleaned, ",", "."))
+    )
+    return F.regexp_extract(text, r"^(-?(?:\d+\.?\d*|\.\d+))$", 1).try_cast("double")
 
 
 def parse_number(text: Column) -> Column:
     """A number in any locale's form, or null."""
-    t = F.trim(F.regexp_replace(text, " ", " "))
-    cleaned = F.regexp_replace(t, r"[^\d.,\-]", "")
-    return F.when(F.lower(t).isin(NULLISH) | ~cleaned.rlike(r"\d"), F.lit(None)).otherwise(_number(cleaned))
+    trimmed = F.trim(F.translate(text, "\u00a0", " "))
+    return let(trimmed, lambda t: F.when(~F.lower(t).isin(NULLISH), let(F.regexp_replace(t, r"[^\d.,\-]", ""), _number)))
 
 
 def _with_multiplier(text: Column) -> Column:
-    t = F.lower(F.trim(F.regexp_replace(text, " ", " ")))
-    out = F.when(t.isin(NULLISH), F.lit(None).cast("double"))
-    for suffix, factor in MULTIPLIERS:
-        out = out.when(F.endswith(t, F.lit(suffix)), parse_number(F.trim(F.substring(t, F.lit(1), F.length(t) - len(suffix)))) * factor)
-    return out.otherwise(parse_number(t))
+    names = "|".join(s.replace(".", r"\.") for s, _ in MULTIPLIERS)
+
+    def scaled(t: Column) -> Column:
+        factor = F.element_at(F.create_map(*(F.lit(x) for pair in [*MULTIPLIERS, ("", 1)] for x in pair)), F.regexp_extract(t, f"({names})$", 1))
+        return F.when(~t.isin(NULLISH), parse_number(F.regexp_replace(t, f"({names})$", "")) * factor)
+
+    return let(F.lower(F.trim(F.translate(text, "\u00a0", " "))), scaled)
 
 
 def parse_volume(text: Column) -> Column:
     """struct<minimum, maximum, mid, label, parsed>: ranges have their geometric mean as mid."""
-    label = F.trim(F.coalesce(text, F.lit("")))
-    empty = F.lower(label).isin(NULLISH)
-    parts = F.filter(F.split(label, rf"\s*{DASHES}\s*"), lambda p: F.trim(p) != "")
-    ranged = F.size(parts) >= 2
-    a = _with_multiplier(F.when(ranged, F.get(parts, F.lit(0))))
-    b = _with_multiplier(F.when(ranged, F.element_at(parts, -1)))
-    one = _with_multiplier(label)
-    low, high = F.least(a, b), F.greatest(a, b)
-    fits = F.when(ranged, a.isNotNull() & b.isNotNull()).otherwise(one.isNotNull())
-    minimum = F.when(ranged, low).otherwise(one)
-    maximum = F.when(ranged, high).otherwise(one)
-    mid = F.when(~ranged, F.bround(one)).when(low > 0, F.bround(F.sqrt(low * high))).otherwise(F.bround(high / 2))
-    whole = lambda x: F.when(empty | ~fits, F.lit(0)).otherwise(x.cast("bigint")).cast("bigint")
-    return F.struct(whole(minimum).alias("minimum"), whole(maximum).alias("maximum"), whole(mid).alias("mid"), label.alias("label"), (empty | fits).alias("parsed"))
+
+    def read(label: Column) -> Column:
+        parts = F.filter(F.split(label, rf"\s*{DASHES}\s*"), lambda p: F.trim(p) != "")
+        numbers = F.transform(let(parts, lambda p: F.when(F.size(p) >= 2, F.array(F.get(p, F.lit(0)), F.element_at(p, -1))).otherwise(F.array(label))), _with_multiplier)
+        return let(F.struct(label.alias("label"), F.lower(label).isin(NULLISH).alias("empty"), numbers.alias("n")), judged)
+
+    def judged(x: Column) -> Column:
+        parsed = ~x["empty"] & ~F.exists(x["n"], lambda n: n.isNull())
+        low, high = F.array_min(x["n"]), F.array_max(x["n"])
+        mid = F.when(F.size(x["n"]) == 1, low).when(low > 0, F.sqrt(low * high)).otherwise(high / 2)
+        whole = lambda v: F.when(parsed, v.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(whole(low).alias("minimum"), whole(high).alias("maximum"), whole(F.bround(mid)).alias("mid"), x["label"].alias("label"), (x["empty"] | parsed).alias("parsed"))
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), read)
 
 
 def parse_competition(text: Column) -> Column:
     """LOW, MED or HIGH, from a word in two languages or an index from 0 to 100."""
-    t = F.lower(F.trim(text))
-    n = parse_number(t)
-    out = F.when(t.isin(LEVEL_UNKNOWN), F.lit(None).cast("string"))
-    for level, words in LEVELS.items():
-        out = out.when(t.isin(words), level)
-    return out.when(n.isNull(), F.lit(None)).when(n <= 33, "LOW").when(n <= 66, "MED").otherwise("HIGH")
+    words = F.create_map(*(F.lit(x) for level, known in LEVELS.items() for w in known for x in (w, level)))
+
+    def level(t: Column) -> Column:
+        number = F.when(~t.isin(LEVEL_UNKNOWN), parse_number(t))
+        return F.coalesce(F.element_at(words, t), let(number, lambda n: F.when(n <= 33, "LOW").when(n <= 66, "MED").when(n.isNotNull(), "HIGH")))
+
+    return let(F.lower(F.trim(text)), level)
 
 
 def price_text(text: Column) -> Column:
