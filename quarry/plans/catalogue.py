@@ -290,7 +290,9 @@ def dup_titles(spark, sf_dir):
 _WORDS = "regexp_extract_all(lower(text), '[0-9a-zÀ-ɏ''-]+')"
 
 
-@query(f"SELECT doc_id, len({_WORDS})::INT AS word_count, sha1(array_to_string({_WORDS}, ' ')) AS content_hash, len({_WORDS}) < 250 AS thin, len(list_distinct(CASE WHEN len({_WORDS}) < 4 THEN {_WORDS} ELSE list_transform(range(1, len({_WORDS}) - 2), lambda i: array_to_string({_WORDS}[i:i+3], ' ')) END))::INT AS shingles FROM documents")
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents)
+SELECT doc_id, len(w)::INT AS word_count, sha1(array_to_string(w, ' ')) AS content_hash, len(w) < 250 AS thin,
+  len(list_distinct(CASE WHEN len(w) < 4 THEN w ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END))::INT AS shingles FROM d""")
 def content_words(spark, sf_dir):
     w = text.content_words(F.col("text"))
     return table(spark, sf_dir, "documents").withColumn("w", w).select("doc_id", F.size("w").alias("word_count"), text.content_hash(F.col("w")).alias("content_hash"), (F.size("w") < 250).alias("thin"), F.size(F.array_distinct(text.shingles(F.col("w")))).alias("shingles"))
@@ -303,13 +305,14 @@ def dup_content(spark, sf_dir):
 
 
 def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 sign bits of each vector."""
-    bits = F.transform(F.slice("embedding", 1, 63), lambda x: F.when(x > 0, 1).otherwise(0))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a * 2 + b).alias("simhash"))
+    """60 bits of a digest of what a part is, one of them flipped."""
+    digest = F.conv(F.substring(F.sha1(F.concat("p_name", "p_brand", "p_type")), 1, 15), 16, 10).cast("bigint")
+    flip = F.pow(F.lit(2.0), F.col("p_partkey") % 60).cast("bigint")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), digest.bitwiseXOR(flip).alias("simhash"))
 
 
 @query("""
-WITH p AS (SELECT vec_id AS id, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:63], lambda x: (x > 0)::BIGINT)), lambda a, b: a * 2 + b) AS h FROM embeddings)
+WITH p AS (SELECT p_partkey AS id, xor(('0x' || substr(sha1(p_name || p_brand || p_type), 1, 15))::BIGINT, 1::BIGINT << (p_partkey % 60)::INT) AS h FROM part)
 SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM p a JOIN p b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 8""")
 def near_dup_pairs(spark, sf_dir):
     return dups.near_pairs(_prints(spark, sf_dir)).select("a", "b", F.col("distance").cast("int").alias("distance"))
