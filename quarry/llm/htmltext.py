@@ -524,8 +524,12 @@ def extract(pages: list[str | None], trees: Trees) -> list[str]:
 
 def train(df: DataFrame, fit_pages: int = FIT_PAGES) -> Trees:
     """Fit on generated pages and at most fit_pages rows that name an article element."""
-    rows = df.filter(F.col("html").contains("<article")).select(F.xxhash64(F.lit(3), "page_id", "html").alias("h"), "html")
-    return model(tuple(r.html for r in rows.filter(F.length("html") < 20_000).orderBy("h").limit(fit_pages).collect()))
+    rows = df.filter(F.col("html").contains("<article") & (F.length("html") < 20_000)).select(F.xxhash64(F.lit(3), "page_id", "html").alias("h"), "html")
+    # the hashes first: a page goes to the driver only if it is one of those picked
+    picked = [r.h for r in rows.select("h").orderBy("h").limit(fit_pages).collect()]
+    if not picked:
+        return model()
+    return model(tuple(r.html for r in rows.filter(F.col("h") <= picked[-1]).dropDuplicates(["h"]).orderBy("h").collect()))
 
 
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
