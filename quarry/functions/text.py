@@ -49,7 +49,8 @@ def content_words(text: Column) -> Column:
 
 def shingles(words: Column, n: int = 4) -> Column:
     """Windows of n words; the words themselves where there are fewer."""
-    return F.when(F.size(words) < n, words).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return let(words, lambda w: F.when(F.size(w) < n, w).otherwise(windows(w)))
 
 
 def content_hash(words: Column) -> Column:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 DISTANCE = 8
 
 
@@ -61,7 +63,7 @@ def leaders(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """
     spark = pairs.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        spark.sparkContext.setCheckpointDir(store.shared_dir(spark))
     left, out = pairs.select("a", "b").checkpoint(), None
     for _ in range(rounds):
         heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")

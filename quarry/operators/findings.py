@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import urls
 
-from . import dups, site
+from . import dups, site, store
 
 HIGH, MED, LOW = "HIGH", "MED", "LOW"
 URL_LIMIT = 200
@@ -157,7 +157,8 @@ def joined_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 def findings(pages: DataFrame, links: DataFrame) -> DataFrame:
     """All findings, the gravest and largest first."""
-    return gather(page_hits(pages).unionByName(joined_hits(pages, links))).orderBy(severity_rank(F.col("severity")), F.desc("count"), "issue")
+    hits = store.written(page_hits(pages).unionByName(joined_hits(pages, links)), "hits")
+    return gather(hits).orderBy(severity_rank(F.col("severity")), F.desc("count"), "issue")
 
 
 def status_class(status: Column) -> Column:

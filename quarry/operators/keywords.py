@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
 
+from . import store
+
 OWN, WEAK, MARGIN = 0.75, 0.50, 0.25
 SLUG_WEIGHT, FIELD_WEIGHT = 3, 2
 LONG_TAIL = 4
@@ -138,7 +140,7 @@ def gap_clusters(gaps: DataFrame) -> DataFrame:
     """
     spark = gaps.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        spark.sparkContext.setCheckpointDir(store.shared_dir(spark))
     words = text.target_tokens(F.col("normalized"))
     runs = F.when(F.size(words) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, F.lit(2)), " ")))).otherwise(F.array().cast("array<string>"))
     left, out = gaps.select("normalized", "volume_mid", runs.alias("runs")).checkpoint(), []

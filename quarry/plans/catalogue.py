@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
-from quarry.operators import dups, extract, findings, keywords, report, site, spelling
+from quarry.operators import dups, extract, findings, keywords, report, site, spelling, store
 from quarry.sources import psi
 from quarry.streaming import incremental
 
@@ -51,8 +51,8 @@ def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(pages with inlinks, links); both read the facts once."""
-    pages = extract.page_table(crawled(spark, sf_dir))
+    """(pages with inlinks, links); the pages are parsed once and written."""
+    pages = store.written(extract.page_table(crawled(spark, sf_dir)), "pages")
     links = extract.link_table(pages)
     return site.inlinks(pages, links), links
 
@@ -244,8 +244,7 @@ def ghosts(spark, sf_dir):
 
 @query(SITE_SQL + "SELECT CASE WHEN bool_or(in_sitemap) OVER () THEN 'HIGH' ELSE 'MED' END AS severity, url FROM audited WHERE status BETWEEN 400 AND 499")
 def dead_in_sitemap(spark, sf_dir):
-    pages = extract.page_table(crawled(spark, sf_dir))
-    return findings.joined_hits(site.inlinks(pages, extract.link_table(pages)), extract.link_table(pages)).filter("issue = 'Dead URLs (4xx)'").select("severity", "url")
+    return findings.joined_hits(*page_table(spark, sf_dir)).filter("issue = 'Dead URLs (4xx)'").select("severity", "url")
 
 
 _CUST_LINKS = "orders o JOIN customer c ON c.c_custkey = o.o_custkey"
@@ -569,7 +568,8 @@ def findings_rules(spark, sf_dir):
 @query()
 def findings_report(spark, sf_dir):
     pages, links = page_table(spark, sf_dir)
-    return report.findings_sheet(findings.findings(dups.with_simhash(pages.withColumn("shingles", text.shingles(F.col("content"))), "shingles"), links))
+    printed = dups.with_simhash(pages.withColumn("shingles", text.shingles(F.col("content"))), "shingles").drop("shingles")
+    return report.findings_sheet(findings.findings(store.written(printed, "printed"), links))
 
 
 @query(SITE_SQL + "SELECT count(*) AS total_urls, count(*) FILTER (indexable) AS indexable, count(*) FILTER (NOT indexable) AS non_indexable, 0::BIGINT AS products, count(*) FILTER (in_sitemap AND inlinks = 0 AND status = 200 AND discovered_by <> 'start') AS orphans, count(*) FILTER (NOT in_sitemap AND indexable AND inlinks > 0) AS ghosts FROM counted")
@@ -585,7 +585,7 @@ def status_histogram(spark, sf_dir):
 _CATEGORY = {r.issue: r.category for r in findings.RULES}
 
 
-@query(SITE_SQL + "," + _SQL_RULES + ", capped AS (SELECT issue, unnest(list_sort(list(url))[:200]) AS url FROM hits GROUP BY issue), named AS (SELECT CASE " + " ".join(f"WHEN issue = '{i}' THEN '{c}'" for i, c in _CATEGORY.items()) + " END AS category, url FROM capped) SELECT category, count(DISTINCT url) AS pages, round_even(count(DISTINCT url) * 100 / (SELECT count(*) FROM audited), 0)::BIGINT || '%' AS rate FROM named GROUP BY category")
+@query(SITE_SQL + "," + _SQL_RULES + ", capped AS (SELECT issue, unnest(list_sort(list(url))[:200]) AS url FROM hits GROUP BY issue), labelled AS (SELECT CASE " + " ".join(f"WHEN issue = '{i}' THEN '{c}'" for i, c in _CATEGORY.items()) + " END AS category, url FROM capped) SELECT category, count(DISTINCT url) AS pages, round_even(count(DISTINCT url) * 100 / (SELECT count(*) FROM audited), 0)::BIGINT || '%' AS rate FROM labelled GROUP BY category")
 def category_rate(spark, sf_dir):
     pages = crawled(spark, sf_dir)
     found = findings.gather(findings.page_hits(extract.page_table(pages))).filter("issue not in ('Thin content', 'Noindex on internally linked pages')")

@@ -195,9 +195,9 @@ def fetch(frontier: DataFrame, options: Options, get: Callable[[str, Options], A
 
 def crawl(spark: SparkSession, start: str, options: Options = Options(), get: Callable[[str, Options], Answer] = http, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, sitemap): fetched pages with depth, discovered_by and in_sitemap; the sitemap's urls."""
-    from quarry.operators import extract
+    from quarry.operators import extract, store
 
-    folder = folder or f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    folder = folder or f"{store.shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
     fetcher = Fetcher(options, get)
     rules, named = read_robots(fetcher, start)
     if delay := rules.crawl_delay(options.user_agent):
