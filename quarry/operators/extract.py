@@ -232,7 +232,11 @@ def read_facts(pages: DataFrame) -> DataFrame:
 
 def meta(*keys: str) -> Column:
     """The first of these metas that is there; a key is name:... or property:..."""
-    return F.coalesce(*(F.get(F.filter("f.metas", lambda m, k=k: m["k"] == k), F.lit(0))["v"] for k in keys))
+
+    def first(k: str) -> Column:
+        return F.get(F.filter("f.metas", lambda m: m["k"] == k), F.lit(0))["v"]
+
+    return F.coalesce(*map(first, keys))
 
 
 def length_issue(value: Column, limits: tuple[int, int]) -> Column:
