@@ -91,9 +91,9 @@ def strips(words: list[bytes]) -> np.ndarray:
         s = mix(s * GOLDEN + h[i : len(s) + i])
     s.sort()
     new = np.append(True, s[1:] != s[:-1])
-    if not new.all():  # the second occurrence is another strip than the first
+    if not new.all():  # the second occurrence is another strip than the first, which is the same in every text
         at = np.arange(len(s))
-        s = mix(s + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * GOLDEN)
+        s = np.where(new, s, mix(s + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * GOLDEN))
         s.sort()
     return s
 

@@ -292,6 +292,24 @@ def test_near_duplicates_against_brute_force(spark, nothing):
     assert {k.doc_id for k in kept.collect()} == {*root, None}
 
 
+def test_strips_are_the_shingle_counts_whether_a_text_repeats_or_not(spark):
+    r = random.Random(8)
+    runs = lambda t: Counter(tuple(t[i : i + neardup.SHINGLE]) for i in range(len(t) - neardup.SHINGLE + 1))
+    texts = []
+    for k in range(20):  # each with a copy that repeats the opening or a passage; the first has no repeat
+        own = [b"w%d" % n for n in r.sample(range(10**6), 150)]
+        at = 0 if k % 2 else r.randrange(100)
+        texts += [own, own + own[at : at + 5 + k % 4]]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        assert max(runs(a).values()) == 1 and max(runs(b).values()) == 2
+    for a in texts:
+        for b in texts:
+            s, t, x, y = set(neardup.strips(a).tolist()), set(neardup.strips(b).tolist()), runs(a), runs(b)
+            assert (len(s & t), len(s | t)) == ((x & y).total(), (x | y).total())
+    rows = spark.createDataFrame([(i, b" ".join(t).decode()) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert {x.doc_id: x.class_id for x in neardup.classes(rows).collect()} == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_signatures_agree_as_often_as_sets_do():
     r = np.random.default_rng(3)
     a = r.integers(0, 2**63, 400).astype(np.uint64)
