@@ -46,6 +46,8 @@ SILENT = frozenset("head script style noscript template iframe object svg canvas
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Start tags that a head holds; any other ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 #: Which open elements a start tag closes, up to the nearest of the second set.
 IMPLIED = {
@@ -114,7 +116,7 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, [])
-        self.silent = 0
+        self.silent: list[str] = []  # open silent elements
         self.open: dict[str, int] = {}
 
     def _close(self, node: Node) -> None:
@@ -122,11 +124,31 @@ class _Builder(HTMLParser):
             self.open[self.at.tag] -= 1
             self.at = self.at.parent
 
+    def _speak(self, tag: str) -> None:
+        """End the innermost open silent element of a tag, and what is open in it."""
+        if tag in self.silent:
+            del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
+
+    def _imply(self, tag: str) -> None:
+        """End the silent elements whose end tags a start tag implies."""
+        if tag == "body" or (self.silent[-1] == "head" and tag not in IN_HEAD):
+            self._speak("head")
+        elif self.silent[-1] == "option" and tag in ("option", "optgroup"):
+            self.silent.pop()
+        elif tag in ("input", "textarea"):
+            self._speak("select")
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent:
+            self._imply(tag)
         if tag in ("html", "body"):
             return
+        if tag == "select" and tag in self.silent:  # stands for an end tag
+            self._speak(tag)
+            return
         if self.silent or (tag in SILENT and tag not in VOID):
-            self.silent += tag in SILENT
+            if tag in SILENT and not (tag == "head" and self.silent):
+                self.silent.append(tag)
             return
         if tag in CLOSES_P and self.open.get("p"):
             x = self.at
@@ -156,8 +178,10 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.silent == ["option"] and tag in BLOCK and self.open.get(tag):
+            self.silent.pop()
         if self.silent:
-            self.silent -= tag in SILENT
+            self._speak(tag)
             return
         if not self.open.get(tag):
             return
@@ -168,6 +192,8 @@ class _Builder(HTMLParser):
             self._close(x)
 
     def handle_data(self, data: str) -> None:
+        if self.silent == ["head"] and data.strip():
+            self.silent.pop()
         if not self.silent:
             self.at.parts.append(data)
 

@@ -112,6 +112,23 @@ def test_html():
     assert htmltext.extract([page, None, "", "<div>" * 3000 + "x"], trees)[:3] == ["A&B One twothree. Four Five six seven, and so on.", "", ""]
 
 
+@pytest.mark.parametrize("before", [
+    "<form><select><option>A<option>B</select></form>", "<select><optgroup label=x><option>A<optgroup label=y><option>B<option>C</select>", "<datalist><option>A<option>B</datalist>", "<select><option>A<select>", "<div><option>A</div>",
+    "<head><title>x</title><body>", "<head><meta charset=utf-8><title>x</title>", "<head><title>x</title><noscript><img src=x><body>", "<button>A<svg><path></button>", "<head><title>x</title></head><body>", "<select><option>A</option></select>",
+])
+def test_html_silent_elements_without_end_tags(before):
+    article = "<article><h1>T</h1><p>Some text, in a sentence.</p></article>"
+    nodes = htmltext.build(before + article)
+    own = [x for x in nodes if x.tag == "article"]
+    assert len(own) == 1 and [y.tag for y in own[0].children] == ["h1", "p"]
+    assert htmltext.render(nodes, [True] * len(nodes)) == "T Some text, in a sentence."
+
+
+def test_html_text_ends_a_head():
+    nodes = htmltext.build("<head><title>x</title> Some text.<p>More.")
+    assert htmltext.render(nodes, [True] * len(nodes)) == "Some text. More."
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><h1>T</h1><p>Some text, in a sentence.</p></article>"), (None, None, None), (1, "u", "")], "page_id bigint, url string, html string")
     assert sorted((r.text, r.n_chars) for r in htmltext.extract_text(df).collect()) == [("", 0), ("", 0), ("T Some text, in a sentence.", 27)]
