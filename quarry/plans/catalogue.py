@@ -486,11 +486,11 @@ def keyword_dedupe(spark, sf_dir):
     return keywords.clean(_keywords(spark, sf_dir), **_FILTERS).select("normalized", "row_idx", F.col("volume.mid").alias("mid"))
 
 
-def _shop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types as a shop's pages."""
+def _shop(spark: SparkSession, sf_dir: str, keep: str = "p_partkey < 60") -> DataFrame:
+    """Part types as a shop's pages: those that _SQL_SHOP has, or others."""
     p = table(spark, sf_dir, "part")
     kind = F.get(F.array(F.lit("products"), F.lit("collections"), F.lit("pages")), (F.col("p_partkey") % 3).cast("int"))
-    return p.filter("p_partkey < 60").select(F.concat(F.lit("https://s.example.com/"), kind, F.lit("/"), F.regexp_replace(F.lower("p_name"), " ", "-"), F.lit("-"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_type").alias("title"), F.col("p_brand").alias("h1"))
+    return p.filter(keep).select(F.concat(F.lit("https://s.example.com/"), kind, F.lit("/"), F.regexp_replace(F.lower("p_name"), " ", "-"), F.lit("-"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_type").alias("title"), F.col("p_brand").alias("h1"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -543,7 +543,7 @@ def keyword_map(spark, sf_dir):
 
 @query()
 def gap_clusters(spark, sf_dir):
-    m = keywords.keyword_map(_demand(spark, sf_dir), _shop(spark, sf_dir).limit(12))
+    m = keywords.keyword_map(_demand(spark, sf_dir), _shop(spark, sf_dir, "true"))
     return keywords.gap_clusters(m.filter("status <> 'OWNED'").select("normalized", "volume_mid"))
 
 

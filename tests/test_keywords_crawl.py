@@ -34,6 +34,41 @@ def test_map(spark):
     assert [(g.head, g.size, g.volume) for g in gaps] == [("unknown thing", 2, 15)]
 
 
+def test_gaps_of_the_whole_shop_against_brute_force(spark, tmp_path):
+    import math
+    import random
+    from collections import Counter
+
+    from quarry.plans import catalogue
+
+    r = random.Random(4)
+    colours = "almond azure beige coral cream forest ivory khaki lemon linen maroon navy".split()
+    parts = [(k, " ".join(r.sample(colours, 5)), f"Brand{k % 7}", f"STANDARD {('TIN', 'STEEL')[k % 2]}", 1 + k % 50) for k in range(20, 140, 2)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    kinds, on = ("products", "collections", "pages"), {}
+    for k, name, brand, kind, _ in parts:
+        slug = dict.fromkeys([kinds[k % 3], *name.split(), str(k)], 3)
+        slug = {t[:-1] if t in ("products", "collections", "pages") else t: w for t, w in slug.items() if len(t) > 1}
+        on[k] = dict.fromkeys([brand.lower(), *kind.lower().split()], 2) | slug
+    df = Counter(t for x in on.values() for t in x)
+    w = lambda t: 0.25 + 0.75 * max(0, min(1, math.log((len(on) + 1) / (df[t] + 1)) / math.log(len(on) + 1)))
+    left = {}
+    for name in {p[1] for p in parts}:
+        s = [sum(w(t) * x.get(t, 0) for t in name.split()) / sum(w(t) * 3 for t in name.split()) for x in on.values()]
+        if sum(v >= 0.75 and max(s) - v <= 0.25 for v in s) >= 2 or max(s) < 0.75:  # not owned
+            left[name] = max(p[4] for p in parts if p[1] == name)
+    assert 0 < len(left) < len({p[1] for p in parts})
+    want = set()
+    runs = {n: {f"{a} {b}" for a, b in zip(n.split(), n.split()[1:], strict=False)} for n in left}
+    while runs:
+        c = Counter(x for v in runs.values() for x in v)
+        head = min(c, key=lambda x: (-c[x], x))
+        took = [n for n, v in runs.items() if head in v] if c[head] > 1 else []
+        want |= {(head, tuple(sorted(took, key=lambda n: (-left[n], n))))} if took else {(n, (n,)) for n in runs}
+        runs = {n: v for n, v in runs.items() if took and n not in took}
+    assert {(g.head, tuple(g.keywords)) for g in catalogue.gap_clusters(spark, str(tmp_path)).collect()} == want
+
+
 def test_near_pairs_against_brute_force(spark):
     import random
 
