@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -55,23 +56,24 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return far.unionByName(same)
 
 
-def leaders(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def leaders(pairs: DataFrame) -> DataFrame:
     """(id, leader): each id in order leads those near it that no earlier one has taken.
 
     A node without an undecided smaller neighbour leads; its neighbours are its
-    members; the two are taken out, until no pair is left.  Each round is checkpointed.
+    members; the two are taken out, until no pair is left.  Each round is checkpointed,
+    and so is what is found, now and then, so that its plan stays small.
     """
     spark = pairs.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(store.shared_dir(spark))
     left, out = pairs.select("a", "b").checkpoint(), None
-    for _ in range(rounds):
+    for n in count(1):
         heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
         got = left.join(heads, "a").groupBy("b").agg(F.min("a").alias("leader")).select(F.col("b").alias("id"), "leader").unionByName(heads.select(F.col("a").alias("id"), F.col("a").alias("leader")))
         got = got.checkpoint()
         out = got if out is None else out.unionByName(got)
+        out = out if n % 50 else out.checkpoint()
         gone = got.select("id")
         left = left.join(gone, left["a"] == gone["id"], "left_anti").join(gone, left["b"] == gone["id"], "left_anti").checkpoint()
         if left.isEmpty():
             return out
-    raise RuntimeError(f"more than {rounds} rounds")

@@ -89,6 +89,16 @@ def test_near_pairs_against_brute_force(spark):
     assert {k: v for k, v in got.items() if k in lead} == lead
 
 
+def test_leaders_of_a_long_chain(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:  # each id is near the next alone: a round settles two of them
+        pairs = spark.createDataFrame([(i, i + 1) for i in range(209)], "a bigint, b bigint").coalesce(1)
+        assert {x.id: x.leader for x in dups.leaders(pairs).collect()} == {i: i // 2 * 2 for i in range(210)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_spelling(spark):
     t = spark.createDataFrame([(1, "The diffrence in colour is Ritza25 and USB well-made"), (2, None)], "id int, text string")
     d = spark.createDataFrame([(w,) for w in ("the", "in", "color", "and", "well", "made", "difference")], "word string")
