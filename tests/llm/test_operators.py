@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import bpe, chat, htmltext, jpeg, katz, langid, neardup, packing, pii, quality
@@ -87,11 +88,18 @@ def test_bpe_is_tiktoken(spark, docs, rows, nothing):
     c = bpe.Codec(bpe.default_path())
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
     r = random.Random(2)
-    texts = ["", "  a  b ", "it's we'll 's", "x\n\n y", "\x1c a\x1d", "z" * 900, "ab" * 400, "日本語 १२", "<|endoftext|>", *("".join(r.choice(" \n\t'sabZé1!\xa0") for _ in range(80)) for _ in range(100))]
-    assert [np.frombuffer(x, np.int32).tolist() for x in c.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    texts = ["", None, "  a  b ", "it's we'll 's", "x\n\n y", "\x1c a\x1d", "z" * 900, "ab" * 400, "日本語 १२", "<|endoftext|>", *("".join(r.choice(" \n\t'sabZé1!\xa0") for _ in range(80)) for _ in range(100))]
+    # without blanks: random letters, words run together, runs of signs, other scripts; one of a MB
+    known = [t.decode() for t in list(c.ranks)[300:5000] if t.isalpha()]
+    texts += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(250)) for _ in range(200)]
+    texts += ["".join(r.choice(known) for _ in range(5000)), "-" * 30_000, "=-" * 10_001, "abc" * 7000, "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(350_000))]
+    ids, counts = c.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [enc.encode_ordinary(t or "") for t in texts]
     got = bpe.decode(bpe.encode(docs)).collect()
     assert sorted((g.doc_id is None, g.doc_id or 0, bytes(g.decoded)) for g in got) == sorted((i is None, i or 0, (t or "").encode()) for i, t, *_ in rows)
     assert bpe.decode(bpe.encode(nothing)).count() == 0
+    clash = spark.createDataFrame([(1, [100, 200], "x", "y")], "doc_id bigint, ids array<int>, decoded string, `a.b` string")
+    assert [x.asDict() for x in bpe.decode(clash).collect()] == [{"doc_id": 1, "ids": [100, 200], "a.b": "y", "decoded": b"".join(t for n in (100, 200) for t, k in c.ranks.items() if k == n)}]
     ids = spark.createDataFrame([([99_999_999],)], "ids array<int>")
     with pytest.raises(Exception, match="not in the vocabulary"):
         bpe.decode(ids).collect()
