@@ -1,21 +1,28 @@
 """Personal data: patterns propose spans, checksums confirm, context scores.
 
 Four base kinds are always reported as found by their pattern and their check
-(email, ip, card by Luhn, phone by its digit count).  Three further kinds are
+(email, ip, card by Luhn, phone by its digit count).  Four further kinds are
 reported only where their score, raised by context words near the span, reaches
-a threshold: iban (confirmed by mod-97), card13 (13 digits passing Luhn) and
-localphone (a number without country code).  Matching is leftmost and
+a threshold: iban (confirmed by mod-97), card13 (13 digits passing Luhn),
+localphone (a number without country code) and secret (a long run of letters and
+digits of high entropy, such as a key or a token).  Matching is leftmost and
 non-overlapping within a kind; a match that fails its check is dropped and not
-tried again in part.
+tried again in part.  A span of a further kind that overlaps a base one goes.
 
 Defined results: a null or empty text has no spans; positions are code points,
-end exclusive; repeated rows give repeated results; null ids are kept.
+end exclusive; spans at one place are in the order of KINDS; repeated rows give
+repeated results; null ids are kept; an empty table gives an empty one; report()
+and detect() read two columns and ignore the others, redact() takes over all.  The
+time is in proportion to a text's length, whatever it holds (runs of digits too).
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, prepare, table
 
-KINDS = ("email", "ip", "card", "phone", "iban", "card13", "localphone")
+KINDS = ("email", "ip", "card", "phone", "iban", "card13", "localphone", "secret")
 BASE = KINDS[:4]
 #: What a kind scores by its pattern and its checksum alone; context adds CONTEXT_BONUS.
-PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "card13": 0.45, "localphone": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "card13": 0.45, "localphone": 0.3, "secret": 0.45}
 CONTEXT_BONUS = 0.4
 THRESHOLD = 0.7
 CONTEXT_CHARS = 40
@@ -38,15 +45,17 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "card13": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
     "localphone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
+    "secret": ("token", "secret", "key", "apikey", "password", "passwd", "pwd", "bearer", "credentials"),
 }
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: As `[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`: a match begins where its run of digits does.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\)\x20?)?[0-9]{3,4}[ -][0-9]{3,4}(?:[ -][0-9]{2,4})?(?![\w-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![=])")
 WORD = re.compile(r"[^\W\d_]+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -70,6 +79,14 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def random_looking(s: str) -> bool:
+    """Letters and digits, in a mix of 3 bits a sign or more."""
+    s = s.rstrip("=")
+    if s.isalpha() or s.isdigit() or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
+        return False
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= 3
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -95,7 +112,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(a, b, "email") for a, b in emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             found.append((*m.span(), "ip"))
     for m in CARD.finditer(text):
         if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -114,6 +131,7 @@ def more_spans(text: str) -> list[tuple[int, int, str]]:
         if len(d := _digits(m[0])) == 13 and luhn(d):
             found.append((*m.span(), "card13"))
     found += [(*m.span(), "localphone") for m in LOCAL_PHONE.finditer(text)]
+    found += [(*m.span(), "secret") for m in SECRET.finditer(text) if random_looking(m[0])]
     return found
 
 
@@ -131,8 +149,9 @@ def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     more = more_spans(text)
     if not more:
         return base, base
-    taken = [(a, b) for a, b, _ in base]
-    kept = [s for s in more if score(text, *s) >= THRESHOLD and not any(a < s[1] and s[0] < b for a, b in taken)]
+    begins, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+    free = lambda a, b: not (i := bisect_left(begins, b)) or reach[i - 1] <= a
+    kept = [s for s in more if free(*s[:2]) and score(text, *s) >= THRESHOLD]
     return base, sorted(base + kept, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -187,7 +206,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     return map_batches(df, run, df.schema)
 
 
-RESULT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+RESULT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
 
 
 def report(df: DataFrame) -> DataFrame:
@@ -195,7 +214,7 @@ def report(df: DataFrame) -> DataFrame:
     found = detect(df)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *map(count, BASE), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,8 +98,8 @@ def test_bpe_is_tiktoken(spark, docs, rows, nothing):
     got = bpe.decode(bpe.encode(docs)).collect()
     assert sorted((g.doc_id is None, g.doc_id or 0, bytes(g.decoded)) for g in got) == sorted((i is None, i or 0, (t or "").encode()) for i, t, *_ in rows)
     assert bpe.decode(bpe.encode(nothing)).count() == 0
-    clash = spark.createDataFrame([(1, [100, 200], "x", "y")], "doc_id bigint, ids array<int>, decoded string, `a.b` string")
-    assert [x.asDict() for x in bpe.decode(clash).collect()] == [{"doc_id": 1, "ids": [100, 200], "a.b": "y", "decoded": b"".join(t for n in (100, 200) for t, k in c.ranks.items() if k == n)}]
+    clash = spark.createDataFrame([(1, [100, 200], "x", "y")], "doc_id bigint, ids array<int>, decoded string, `a b` string")
+    assert [x.asDict() for x in bpe.decode(clash).collect()] == [{"doc_id": 1, "ids": [100, 200], "a b": "y", "decoded": b"".join(t for n in (100, 200) for t, k in c.ranks.items() if k == n)}]
     ids = spark.createDataFrame([([99_999_999],)], "ids array<int>")
     with pytest.raises(Exception, match="not in the vocabulary"):
         bpe.decode(ids).collect()
@@ -286,11 +286,41 @@ def test_pii(spark, docs, nothing):
     for _ in range(3000):  # the jumping search is the plain one
         s = "".join(r.choice("ab.@-_ 1") for _ in range(25))
         assert pii.emails(s) == [m.span() for m in pii.EMAIL.finditer(s)]
+    sign = r"24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    assert [k for *_, k in pii.find(f'token = "{sign}"')[1]] == ["secret"] and not pii.find(f"commit {sign}")[1] and not pii.find(f"token {'a' * 40}")[1]
     assert pii.mask("x a@b.c y") == "x [EMAIL] y" and pii.mask(None) is None
     assert pii.report(docs).count() == docs.count() and pii.report(nothing).count() == 0
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_pii_base_spans_against_the_plain_patterns(spark):
+    import re
+
+    ok = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(d := re.sub(r"\D", "", m)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub(r"\D", "", m)) <= 15),
+    }
+    r = random.Random(4)
+    bits = ["+", "1", "0", "22", "255", "256", ".", ".", " ", "-", "@", "a", "b.c", "(", ")", "4539148803436467", "é", "9" * 16, "0" * 4400]
+    texts = ["".join(r.choice(bits[: 18 + (k % 50 == 0)]) for _ in range(r.randint(0, 60))) for k in range(4000)]
+    texts += ["0" * 5000 + ".1.1.1", "1" * 5000 + ".1.1.1", None, ""]
+    want = []
+    for t in texts:
+        spans = []
+        for n, (kind, (pattern, check)) in enumerate(ok.items()):
+            spans += [(m.start(), n, m.end(), kind) for m in re.finditer(pattern, t or "") if check(m[0])]
+        spans.sort()
+        line = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        counts = Counter(k for *_, k in spans)
+        want.append((*(counts[k] for k in ok), hashlib.sha256(line.encode()).hexdigest()))
+    got = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [tuple(g[1:6]) for g in got] == want
+    long = "7" * 2_000_000 + " " + "1.2." * 200_000 + "@" + "x" * 1_000_000 + "+1(" * 200_000
+    assert pii.find(long)[0] is not None  # in seconds
+
+
 def test_near_duplicates_against_brute_force(spark, nothing):
     r = random.Random(11)
     words = [f"w{i}" for i in range(3000)]
