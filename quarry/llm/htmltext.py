@@ -10,16 +10,18 @@ is inside a dropped element is dropped as well: from the leaves up, an element i
 kept if its own log probability and its children's best sum to more than dropping
 the whole subtree.
 
-The model is fitted on the driver from pages that generate() writes with known
-labels (PAGES of them, many layouts), and from at most fit_pages rows of the table
-whose markup names an article element, picked by a hash of the id.
+The model is fitted on the driver from PAGES pages that generate() writes with known
+labels, in many layouts; no row of a table is used, so its figures do not depend on one.
 
 The text: character references decoded, white space within a block turned into one
 space and trimmed, blocks joined by one space in page order; scripts, styles, forms'
-fields, hidden elements and comments in the markup hold no text.  Defined results: a
-null or empty page, and one without an article, gives an empty text; plain text
-without markup is one block and is judged like any other; repeated rows repeat; very
-deep markup is handled without recursion; ids and urls may be null.
+fields, drawings, embedded frames and comments in the markup hold no text, formulas and
+noscript do.  Whether an element is shown is not judged.  Defined results: a null or
+empty page, and one without an article, gives an empty text; plain text without markup
+is one block and is judged like any other; at equal odds an element is kept; repeated
+rows repeat; very deep markup and pages of many MB are handled without recursion, one
+page a batch; ids and urls may be null; other columns are ignored, whatever their names;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,11 +40,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, prepare, table
 
 PAGES = 400
-FIT_PAGES = 100
 TREES, DEPTH, RATE, BINS, MIN_WEIGHT = 50, 5, 0.3, 16, 1.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style noscript template iframe object svg canvas math select option textarea button audio video map datalist title".split())
+SILENT = frozenset("head script style template iframe object svg canvas select option textarea button audio video map datalist title".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -90,12 +91,11 @@ WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "tokens", "hidden", "n")
+    __slots__ = ("tag", "parent", "children", "parts", "tokens", "n")
 
     def __init__(self, tag: str, parent: Node | None, attrs: list[tuple[str, str | None]]):
         self.tag, self.parent, self.children, self.parts = tag, parent, [], []
         a = dict(attrs) if attrs else {}
-        self.hidden = bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower())
         names = " ".join(v for k in ("class", "id", "role", "aria-label") if (v := a.get(k))) if a else ""
         self.tokens = frozenset(CLASS_OF[t] for w in WORD_PARTS.findall(names) if (t := w.lower()) in CLASS_OF) if names else frozenset()
         self.n = 0
@@ -206,8 +206,6 @@ def build(html: str) -> list[Node]:
     out, todo = [], [b.root]
     while todo:
         x = todo.pop()
-        if x.hidden:
-            x.parts, x.children = [], []
         x.n = len(out)
         out.append(x)
         todo.extend(reversed(x.children))
@@ -496,11 +494,8 @@ def generated(seed: int) -> tuple[list[Node], np.ndarray]:
     return nodes, label(nodes, _marks(html))
 
 
-def _training(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _training() -> tuple[np.ndarray, np.ndarray]:
     found = [generated(seed) for seed in range(PAGES)]
-    for html in pages:
-        nodes = build(html)
-        found.append((nodes, label(nodes, ["x" if clutter(x) else "y" if x.tag == "article" else "" for x in nodes])))
     return np.concatenate([features(n) for n, _ in found]), np.concatenate([y for _, y in found])
 
 
@@ -524,16 +519,14 @@ def _marks(html: str) -> list[str]:
     out, todo = [], [b.root]
     while todo:
         x = todo.pop()
-        if x.hidden:
-            x.children = []
         out.append(names.get(id(x), ""))
         todo.extend(reversed(x.children))
     return out
 
 
-@lru_cache(maxsize=4)
-def model(pages: tuple[str, ...] = ()) -> Trees:
-    return Trees().fit(*_training(list(pages)))
+@lru_cache(maxsize=1)
+def model() -> Trees:
+    return Trees().fit(*_training())
 
 
 def extract(pages: list[str | None], trees: Trees) -> list[str]:
@@ -548,23 +541,13 @@ def extract(pages: list[str | None], trees: Trees) -> list[str]:
     return out
 
 
-def train(df: DataFrame, fit_pages: int = FIT_PAGES) -> Trees:
-    """Fit on generated pages and at most fit_pages rows that name an article element."""
-    rows = df.filter(F.col("html").contains("<article") & (F.length("html") < 20_000)).select(F.xxhash64(F.lit(3), "page_id", "html").alias("h"), "html")
-    # the hashes first: a page goes to the driver only if it is one of those picked
-    picked = [r.h for r in rows.select("h").orderBy("h").limit(fit_pages).collect()]
-    if not picked:
-        return model()
-    return model(tuple(r.html for r in rows.filter(F.col("h") <= picked[-1]).dropDuplicates(["h"]).orderBy("h").collect()))
-
-
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 
 def extract_text(df: DataFrame, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for (page_id, url, html)."""
     spark = prepare(df.sparkSession)
-    sent = spark.sparkContext.broadcast(trees or train(df))
+    sent = spark.sparkContext.broadcast(trees or model())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = extract(batch.column(2).to_pylist(), sent.value)

@@ -137,10 +137,26 @@ def test_html_text_ends_a_head():
     assert htmltext.render(nodes, [True] * len(nodes)) == "Some text. More."
 
 
+def test_html_on_pages_written_by_hand():
+    """Expected texts are written out here; nothing of the module makes them."""
+    words = "The river rose in the night, and by morning the lower fields were under water."
+    cases = [
+        (f"<html><head><title>t</title><body><nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav><article><h1>Flood</h1><p>{words}<p>{words}</article><footer>Imprint</footer>", f"Flood {words} {words}"),
+        (f"<body><header><a href=/>Logo</a></header><main><article><h2>A &lt; B</h2><p>{words}</p><ul><li>One point, made.<li>Another point, made.</ul><table><tr><td>12<td>13</table></article><aside><a href=/a>More</a></aside></main>", f"A < B {words} One point, made. Another point, made. 12 13"),
+        (f"<article><h1>Sum</h1><p>{words} Let <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> be so.</p><noscript><p>{words}</p></noscript><script>var a = '<p>no</p>';</script><style>p {{}}</style></article>", f"Sum {words} Let x = 1 be so. {words}"),
+        (f"<div class=page><div class='cookie-notice'>We use cookies, as all do.</div><article><p>{words}</p><div class=advert>Buy now!</div><p>{words}</p></article><section class=comments><p>First! {words}</p></section></div>", f"{words} {words}"),
+        (f"<form><select><option>a<option>b</select></form><article><h1>T</h1><p>{words}<br>{words}</article>", f"T {words} {words}"),
+    ]
+    assert htmltext.extract([h for h, _ in cases], htmltext.model()) == [w for _, w in cases]
+    assert htmltext.extract([f"<article><p>{words}" + f" {words}" * 20_000 + "</article>"], htmltext.model()) == [" ".join([words] * 20_001)]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><h1>T</h1><p>Some text, in a sentence.</p></article>"), (None, None, None), (1, "u", "")], "page_id bigint, url string, html string")
     assert sorted((r.text, r.n_chars) for r in htmltext.extract_text(df).collect()) == [("", 0), ("", 0), ("T Some text, in a sentence.", 27)]
     assert htmltext.extract_text(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "1 AS text", "2 AS n_chars", "3 AS h")
+    assert sorted(r.n_chars for r in htmltext.extract_text(clash).collect()) == [0, 0, 27]
 
 
 def test_quality(spark, docs, rows, nothing):
