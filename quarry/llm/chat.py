@@ -8,8 +8,10 @@ one's snapshot and goes (anti-join).  What is left is rendered, one row each.
 
 Turns are numbered 1.. by (turn, role, text), nulls first, so gaps and repeated
 turn numbers are in order.  Equal conversations do not prefix each other: all
-stay, and removing copies is left to deduplication.  Rows without conv_id are
-one conversation.  A null role is rendered as "unknown", a null text as empty;
+stay, and removing copies is left to deduplication.  However many conversations are
+equal, their prefixes meet the anti-join as one row each.  Rows without conv_id are
+one conversation.  Texts of any length are hashed whole; repeated rows are turns of
+their own; other columns of the input are ignored, whatever their names.  A null role is rendered as "unknown", a null text as empty;
 both differ from those strings in the hash.  An empty table gives an empty one.
 """
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Parts that the equal conversations of one anti-join key are dealt to.
+SALTS = 16
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -38,8 +42,14 @@ def prefixes(turns: DataFrame) -> DataFrame:
 def collapse(turns: DataFrame) -> DataFrame:
     """The turns of conversations that prefix no longer one, with k and n_turns."""
     p = prefixes(turns)
-    inner = p.filter("not whole").select("k", "p1", "p2").distinct()
-    kept = p.filter("whole").select("conv_id", "k", "p1", "p2").join(inner, ["k", "p1", "p2"], "left_anti")
+    # each prefix once, before the shuffle to its key: is it a proper prefix, and is it a whole conversation
+    seen = p.groupBy("k", "p1", "p2").agg(F.bool_or(~F.col("whole")).alias("inner"), F.bool_or("whole").alias("ends"))
+    gone = seen.filter("inner and ends").select("k", "p1", "p2")
+    # the ids by salted key: a conversation that thousands log alike is dealt to many tasks
+    salt = F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")
+    ends = p.filter("whole").select("conv_id", "k", "p1", "p2", salt.alias("salt"))
+    salted = gone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = ends.join(salted, ["k", "p1", "p2", "salt"], "left_anti")
     ids = kept.select(F.col("conv_id").alias("kept_id"), F.col("k").alias("n_turns"))
     return p.select("conv_id", "k", "role", "text").join(ids, F.col("conv_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
 

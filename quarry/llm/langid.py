@@ -11,10 +11,15 @@ start, over the words of a sample of labelled rows.  The sample is bounded by th
 parameter fit_docs: each language takes part with fit_docs rows in expectation,
 picked by a hash of the id (all rows of smaller languages).
 
+Words over fit_letters letters (runs of letters of scripts without blanks) are not
+learned from; prediction takes words of any length whole, in time proportional to it.
+
 Defined results: null texts and texts without letters are "und" with score 0, as is
 everything if nothing could be learned; signs outside the vocabulary cost the same
 in every language; ties go to the first language in order; null ids are kept and
-count as not held out; rows without a language are not learned from.
+count as not held out; rows without a language are not learned from; repeated rows
+are each learned from and answered; only doc_id, text and lang are read, other columns
+are ignored (keep_known() keeps them); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from .common import map_batches, prepare, remainder, table
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 FIT_DOCS = 2000
+FIT_LETTERS = 64
 ITERATIONS = 3
 PRIOR_COUNT = 0.01
 UNKNOWN = 1e-8
@@ -147,9 +153,9 @@ def forward(p: Pieces, words: list[str], probability: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(p: Pieces, counts: dict[str, int], iterations: int = ITERATIONS) -> np.ndarray:
+def fit(p: Pieces, counts: dict[str, int], iterations: int = ITERATIONS, fit_letters: int = FIT_LETTERS) -> np.ndarray:
     """Piece probabilities that the words' expected counts give, for one language."""
-    words = [w for w in counts if len(w) <= 64]
+    words = [w for w in counts if len(w) <= fit_letters]
     weight = np.array([counts[w] for w in words], float)
     prob = np.full(len(p.names), 1 / len(p.names))
     groups = [(g, list(p.edges([MARK + words[n] for n in g])), len(words[g[0]]) + 1) for g in by_length(words)]
@@ -207,7 +213,7 @@ class Model:
         return out
 
 
-def train(df: DataFrame, fit_docs: int = FIT_DOCS, path: str | None = None) -> Model:
+def train(df: DataFrame, fit_docs: int = FIT_DOCS, path: str | None = None, fit_letters: int = FIT_LETTERS) -> Model:
     """Fit on rows of (doc_id, text, lang) that are not held out."""
     spark = prepare(df.sparkSession)
     path = path or default_path()
@@ -232,7 +238,7 @@ def train(df: DataFrame, fit_docs: int = FIT_DOCS, path: str | None = None) -> M
     def learn(key: tuple, words: pd.DataFrame) -> pd.DataFrame:
         p = pieces(path)
         counts = words.groupby("word")["n"].sum().sort_index()
-        return pd.DataFrame({"lang": [key[0]], "p": [fit(p, counts.to_dict()).tobytes()]})
+        return pd.DataFrame({"lang": [key[0]], "p": [fit(p, counts.to_dict(), fit_letters=fit_letters).tobytes()]})
 
     counted = rows.filter(place < rate).select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
     got = sorted((r.lang, np.frombuffer(r.p)) for r in counted.groupBy("lang").applyInPandas(learn, "lang string, p binary").collect())

@@ -8,16 +8,22 @@ of both; the language with the smallest sum decides.  A text is rejected if
 either distance exceeds its threshold, or by the base rules: fewer than 50 words,
 or over half of the words within 3-word windows found twice or more.
 
-Length guard: below MIN_WORDS words the distances are too noisy to reject by.
+A word histogram's distance shrinks with a text's length even where the text is good
+(its noise falls with the square root), so the word limit of a text of n words is
+WORD_FLOOR + WORD_NOISE / sqrt(n), but never over WORD_LIMIT.  The length guard: below
+MIN_WORDS words both distances must exceed their limit by GUARD to reject.
 
 Defined results: a null text has no words; null languages add nothing to the
 references (unless no row has a language; then all rows make one reference);
-without any reference only base rules count; null ids are kept; repeated rows
-count each time; extra columns are ignored.
+without any reference only base rules count; at equal sums the first language in
+order is the nearest; null ids are kept; repeated rows count each time; a text of
+many MB is counted whole, alone in its batch; extra columns are ignored by assess(),
+whatever their names, and kept by keep_good(); an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +36,8 @@ from .common import map_batches, prepare, table
 
 COMMON_SHARE = 0.002
 CHAR_LIMIT = 0.31
-WORD_LIMIT = 0.445
-MIN_WORDS = 50
+WORD_LIMIT, WORD_FLOOR, WORD_NOISE = 0.445, 0.3, 1.45
+MIN_WORDS, GUARD = 80, 0.03
 CLASSES = 10
 
 SYMBOLS = b"#*$%&|<>"
@@ -212,10 +218,17 @@ def references(df: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
 RESULT = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, nearest_lang string, char_distance double, word_distance double"
 
 
+def limits(n_words: int) -> tuple[float, float]:
+    """The largest distances of characters and of words that a text of this length may have."""
+    guard = GUARD if n_words < MIN_WORDS else 0.0
+    return CHAR_LIMIT + guard, min(WORD_LIMIT, WORD_FLOOR + WORD_NOISE / math.sqrt(max(n_words, 1))) + guard
+
+
 def verdict(text: str | None, refs: References) -> tuple:
     counts = base_counts(text)
     lang, c, w = refs.judge((text or "").encode())
-    passed = not counts[5] and (counts[0] < MIN_WORDS or (c <= CHAR_LIMIT and w <= WORD_LIMIT))
+    most_chars, most_words = limits(counts[0])
+    passed = not counts[5] and c <= most_chars and w <= most_words
     return *counts, passed, lang, round(c, 6), round(w, 6)
 
 
