@@ -25,9 +25,12 @@ sorted columns, not tokens.  A context is counted in one bucket, or in several b
 next word once its count exceeds a bucket's fair share, so a word that is a third of
 all tokens makes no large task.  To the driver come only counts of counts.
 
-Defined results: a null or empty text is one end token; rows without an id are
+The number of buckets grows with the bytes of text (BUCKET_BYTES), so the largest task does
+not.  Scores are rounded to 6 decimals, which evens out the order of summing.
+
+Defined results: a null or empty text is one end token; a text of many MB is one block; rows without an id are
 trained on; repeated rows count each time; without training rows every word is
-unseen and has probability 1; the empty table gives the empty table.
+unseen and has probability 1; other columns are ignored, whatever their names; the empty table gives the empty table.
 """
 
 from __future__ import annotations
@@ -40,13 +43,15 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, remainder, shuffle_partitions, stored, table
 
 GT_MAX = 5
 BLOCK_BYTES = 16 << 20
+#: Bytes of text for each bucket: the number of buckets, and of tasks, grows with the input.
+BUCKET_BYTES = 16 << 20
 END, START = b"", b" "
 HOME = 40  # a word's id: its bucket above this bit, its number there below
 
@@ -359,28 +364,34 @@ class Katz:
     def __init__(self, docs: DataFrame, held_out):
         """docs: (doc_id, text); held_out: a boolean column, false for rows to learn from."""
         spark = prepare(docs.sparkSession)
-        self.buckets = shuffle_partitions(spark)
+        # a bucket, and a task, holds what BUCKET_BYTES of text give, whatever the size of the table
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
         rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
         blocks = stored(_cut(rows, self.buckets), "katz-blocks", ["kind"])
         self.seq = blocks.filter("kind = 'seq'").select("block", "ids", "a", "b", "c")
         words = blocks.filter("kind = 'words'").select("block", "bucket", "a", "b", "c")
-        self.unigram_tables = stored(words.groupBy("bucket").applyInPandas(_count_words, ANSWERS), "katz-unigrams", ["kind", "bucket"])
+        self.unigram_tables = stored(self._dealt(words, "bucket").applyInPandas(_count_words, ANSWERS), "katz-unigrams", ["kind", "bucket"])
         self.unigrams = Unigrams(_stat(self.unigram_tables))
         self.fair = max(1000, self.unigrams.tokens // (8 * self.buckets))
         self.words = self.unigram_tables.filter("kind = 'word'").select(*NAMES[:3], "a", "b", "c")
-        pairs = self.seq.groupBy("block").cogroup(self.words.groupBy("block")).applyInPandas(_send_pairs(self.buckets, self.fair), PAIRS)
-        self.bigram_tables = stored(pairs.groupBy("bucket").applyInPandas(_count_pairs(self.unigrams), ANSWERS), "katz-bigrams", ["kind"])
+        pairs = self._dealt(self.seq, "block").cogroup(self._dealt(self.words, "block")).applyInPandas(_send_pairs(self.buckets, self.fair), PAIRS)
+        self.bigram_tables = stored(self._dealt(pairs, "bucket").applyInPandas(_count_pairs(self.unigrams), ANSWERS), "katz-bigrams", ["kind"])
         self.bigrams = Discounts(_stat(self.bigram_tables))
         contexts = self.bigram_tables.filter("kind = 'context'").select("bucket", "a", "b")
-        weights = self.words.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInPandas(_weigh(self.bigrams), ANSWERS)
+        weights = self._dealt(self.words, "bucket").cogroup(self._dealt(contexts, "bucket")).applyInPandas(_weigh(self.bigrams), ANSWERS)
         self.weight_tables = stored(weights, "katz-weights", ["kind"])
 
+    def _dealt(self, df: DataFrame, key: str) -> GroupedData:
+        """df grouped by key over as many tasks as there are buckets."""
+        return df.repartition(self.buckets, key).groupBy(key)
+
     def scores(self) -> DataFrame:
         """A row for each text: the base model's and this model's log10 probability."""
         answers = self.words
         for t, kind in ((self.bigram_tables, "pair"), (self.weight_tables, "weight")):
             answers = answers.unionByName(t.filter(F.col("kind") == kind).select(*NAMES[:3], "a", "b", "c"))
-        return self.seq.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_apply(self.buckets, self.fair, self.unigrams, self.bigrams), RESULT)
+        return self._dealt(self.seq, "block").cogroup(self._dealt(answers, "block")).applyInPandas(_apply(self.buckets, self.fair, self.unigrams, self.bigrams), RESULT)
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
