@@ -60,6 +60,18 @@ def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that stored() wrote; nothing may read it any more."""
+    spark = df.sparkSession
+    at = shared_dir(spark)
+    for file in df.inputFiles()[:1]:
+        name = file.split(at.split(":", 1)[-1].lstrip("/") + "/", 1)[-1].split("/", 1)[0]
+        if len(name) <= 33 or "-" not in name:  # not one of stored()'s
+            raise ValueError(f"not a stored table: {file}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """Apply fn to each Arrow batch; fn sees one batch at a time."""
 

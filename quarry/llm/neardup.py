@@ -16,14 +16,19 @@ pair list is built: a leader is compared with all members at once, those of
 similarity 0.8 join it, and only members between 0.6 and 0.8 must be leaders as well.
 That loses no link: 1 - similarity is a metric, so if a is within 0.2 of its leader
 and of b, then b is within 0.4 of that leader, hence joined to it or a leader itself.
-Buckets over HOT nodes are worked on by pairs of blocks, exactly and in bounded tasks.
-Classes are the connected components of these links, found by passing the least
+Buckets over HOT nodes or HOT_STRIPS strips are worked on by pairs of blocks, exactly and
+in bounded tasks.  The candidates' ids are written first, so that they are sent to the
+texts where they are few (by the session's limit for broadcasts) and the texts stay put.
+A text is named by 128 bits of a digest, a strip by 64.  Classes are the connected components of these links, found by passing the least
 label along stars; neither links nor labels reach the driver.
 
 Defined results: class_id is the least doc_id of the class; texts without words
 (null, empty) are classes of their own; texts of one to four words have one element,
-all words; words are compared in lower case (A-Z); rows without an id have a null
-class; rows that repeat an id share its fate in keep_one().
+all words; words are compared in lower case (A-Z); at equal leaders the text with the
+least digest leads; rows without an id have a null class; rows that repeat an id share
+its fate in keep_one(); a text of many MB is one node and one row of strips; only doc_id
+and text are read, other columns are ignored (keep_one() keeps them); an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,13 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare, stored, table
+from .common import discard, map_batches, prepare, stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
-HOT = 8192
+HOT, HOT_STRIPS = 1024, 1 << 21
 REMEMBER = 500_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -98,9 +103,9 @@ def strips(words: list[bytes]) -> np.ndarray:
     return s
 
 
-def node_of(words: list[bytes]) -> int:
-    """64 bits of a digest of the words: copies have the same."""
-    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+def node_of(words: list[bytes]) -> bytes:
+    """128 bits of a digest of the words: copies have the same."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
@@ -149,16 +154,17 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame) -> DataFrame:
-    """(doc_id, node, bands) of (doc_id, text); both null for texts without words."""
+    """(doc_id, node, size, bands) of (doc_id, text); null for texts without words; size: the number of strips."""
     prepare(df.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [words_of(t) for t in batch.column(1).to_pylist()]
         some = [n for n, w in enumerate(words) if w]
-        nodes: list[int | None] = [None] * len(words)
+        nodes: list[bytes | None] = [None] * len(words)
+        sizes = [max(len(w) - SHINGLE + 1, 1) if w else None for w in words]
         bands: list[np.ndarray | None] = [None] * len(words)
         if some:
-            own: dict[int, int] = {}
+            own: dict[bytes, int] = {}
             for n in some:
                 nodes[n] = node_of(words[n])
                 own.setdefault(nodes[n], n)
@@ -166,12 +172,12 @@ def sketch(df: DataFrame) -> DataFrame:
             at = {node: k for node, k in zip(own, keys, strict=True)}
             for n in some:
                 bands[n] = at[nodes[n]]
-        return pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+        return pa.record_batch([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "bands"])
 
-    return map_batches(df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, node bigint, bands array<bigint>")
+    return map_batches(df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, node binary, size bigint, bands array<bigint>")
 
 
-def link(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+def link(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple]:
     """Links that connect every two sets joined by a chain of similar ones: at most one fewer than sets."""
     n = len(nodes)
     order = np.argsort(nodes, kind="stable")
@@ -182,7 +188,7 @@ def link(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARI
     joined, led = np.zeros(n, bool), np.zeros(n, bool)
     near: list[list[int]] = [[] for _ in range(n)]  # leaders whose members may be similar although the leader is not
     mark = np.zeros(len(values), bool)
-    out: list[tuple[int, int]] = []
+    out: list[tuple] = []
 
     def lead(i: int) -> None:
         own = number[ends[i] : ends[i + 1]]
@@ -195,7 +201,7 @@ def link(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARI
             joined[j] = True
             if group[j] != group[i]:
                 group[group == group[j]] = group[i]
-                out.append((int(nodes[order[i]]), int(nodes[order[j]])))
+                out.append((nodes[order[i]], nodes[order[j]]))
         for j in np.nonzero((alike >= 2 * similarity - 1 - 1e-9) & (alike < similarity))[0]:
             near[j].append(i)
 
@@ -212,35 +218,35 @@ def link(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARI
     return out
 
 
-def links(docs: DataFrame, sketches: DataFrame, hot: int = HOT) -> DataFrame:
+def links(docs: DataFrame, sketches: DataFrame, hot: int = HOT, hot_strips: int = HOT_STRIPS) -> DataFrame:
     """(a, b): links between nodes that connect every two similar ones."""
-    reps = sketches.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    keys = reps.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).filter("n > 1")
-    kept = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    members = stored(keys.join(kept, "key"), "neardup-members")
-    wanted = members.select("node").distinct().join(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
+    reps = sketches.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    keys = reps.select("node", "size", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("strips"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).filter("n > 1")
+    kept = buckets.groupBy("n", "strips", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "strips")
+    members = stored(keys.select("node", "key").join(kept, "key"), "neardup-members")
+    wanted = stored(members.select("node").distinct().join(reps.select("node", "doc_id"), "node"), "neardup-wanted")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [words_of(t) for t in batch.column(1).to_pylist()]
-        node = pa.array([node_of(w) if w else None for w in words], pa.int64())
-        own = pa.array([strips(w).astype(np.uint32).tobytes() for w in words], pa.binary())
+        node = pa.array([node_of(w) if w else None for w in words], pa.binary())
+        own = pa.array([strips(w).tobytes() for w in words], pa.binary())
         out = pa.record_batch([batch.column(0), own], names=["node", "strips"])
         return out.filter(pc.equal(node, batch.column(0)))
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    sets = map_batches(texts, cut, "node bigint, strips binary").groupBy("node").agg(F.first("strips").alias("strips"))
+    sets = map_batches(texts, cut, "node binary, strips binary").groupBy("node").agg(F.first("strips").alias("strips"))
     # a hot bucket becomes a bucket for every two of its blocks, so that no task holds more than two
-    blocks = F.ceil(F.col("n") / hot).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / hot, F.col("strips") / hot_strips)).cast("int")
     block = F.pmod(F.xxhash64(F.lit(2), "node"), blocks).cast("int")
     split = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     split = split.select("node", F.col("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
 
     def connect(rows: pd.DataFrame) -> pd.DataFrame:
-        found = link(rows["node"].to_numpy(), [np.frombuffer(s, np.uint32) for s in rows["strips"]])
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        found = link(rows["node"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["strips"]])
+        return pd.DataFrame(found, columns=["a", "b"])
 
-    return split.join(sets, "node").groupBy("key", "i", "j").applyInPandas(connect, "a bigint, b bigint")
+    return split.join(sets, "node").groupBy("key", "i", "j").applyInPandas(connect, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,14 +256,16 @@ def components(edges: DataFrame) -> DataFrame:
     among them) until nothing changes; every round is written to the shared folder.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "neardup-star")
-    seen = None
+    seen = before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small.select("a", F.col("m").alias("b")))
-        now = stored(down.distinct(), "neardup-star")
+        if before is not None:
+            discard(before)
+        before, now = now, stored(down.distinct(), "neardup-star")
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.count_if(F.col("a") <= F.col("b"))).first()
         if mark == seen:
             return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
