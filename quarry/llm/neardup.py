@@ -17,9 +17,7 @@ similarity 0.8 join it, and only members between 0.6 and 0.8 must be leaders as
 That loses no link: 1 - similarity is a metric, so if a is within 0.2 of its leader
 and of b, then b is within 0.4 of that leader, hence joined to it or a leader itself.
 Buckets over HOT nodes or HOT_STRIPS strips are worked on by pairs of blocks, exactly and
-in bounded tasks.  The candidates' ids are written first, so that they are sent to the
-texts where they are few (by the session's limit for broadcasts) and the texts stay put.
-A text is named by 128 bits of a digest, a strip by 64.  Classes are the connected components of these links, found by passing the least
+in bounded tasks.  Texts meet the candidates' ids by a shuffle at every size.  A text is named by 128 bits of a digest, a strip by 64.  Classes are the connected components of these links, found by passing the least
 label along stars; neither links nor labels reach the driver.
 
 Defined results: class_id is the least doc_id of the class; texts without words
@@ -225,7 +223,7 @@ def links(docs: DataFrame, sketches: DataFrame, hot: int = HOT, hot_strips: int
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("strips"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).filter("n > 1")
     kept = buckets.groupBy("n", "strips", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "strips")
     members = stored(keys.select("node", "key").join(kept, "key"), "neardup-members")
-    wanted = stored(members.select("node").distinct().join(reps.select("node", "doc_id"), "node"), "neardup-wanted")
+    wanted = members.select("node").distinct().join(reps.select("node", "doc_id"), "node")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [words_of(t) for t in batch.column(1).to_pylist()]
@@ -234,7 +232,7 @@ def links(docs: DataFrame, sketches: DataFrame, hot: int = HOT, hot_strips: int
         out = pa.record_batch([batch.column(0), own], names=["node", "strips"])
         return out.filter(pc.equal(node, batch.column(0)))
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("node", "text")
     sets = map_batches(texts, cut, "node binary, strips binary").groupBy("node").agg(F.first("strips").alias("strips"))
     # a hot bucket becomes a bucket for every two of its blocks, so that no task holds more than two
     blocks = F.ceil(F.greatest(F.col("n") / hot, F.col("strips") / hot_strips)).cast("int")
