@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -26,6 +26,8 @@ def simhash(tokens: list[str]) -> int:
 
 
 def with_simhash(df: DataFrame, tokens_col: str) -> DataFrame:
+    """df with simhash, in place of a column of that name."""
+    df = df.drop("simhash")
     at = df.columns.index(tokens_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,24 +40,44 @@ def with_simhash(df: DataFrame, tokens_col: str) -> DataFrame:
 def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b, distance) for every two ids whose prints differ in at most so many bits.
 
-    prints: (id, simhash).  Equal prints are first made one, so copies cost nothing;
-    distance + 1 bands cover the 64 bits, and two prints within the distance agree on
-    one of them, so an equi-join by band finds all without a cross join.
+    prints: (id, simhash).  The bits are cut into so many blocks that two prints within
+    the distance differ in two bits at most in one of them.  A print has a key for each
+    block as it is and with each one bit flipped; two blocks two bits apart share a key,
+    so an equi-join finds all pairs, and chance brings few others together (blocks of 21
+    bits at the usual distance).  Equal prints are one before that; all their pairs are
+    in the result, which near_clusters() does without.
     """
-    bands = distance + 1
+    blocks = distance // 3 + 1
+    cut = [64 * i // blocks for i in range(blocks + 1)]
+
+    def keys(a: int, b: int) -> Column:
+        own = F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+        flips = [0, *((1 << i) - (1 << 64 if i == 63 else 0) for i in range(b - a))]
+        return F.transform(F.array(*(F.lit(m).cast("bigint") for m in flips)), lambda m: own.bitwiseXOR(m))
+
     distinct = prints.select("simhash").distinct()
-    cut = [64 * i // bands for i in range(bands + 1)]
-    part = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cut, cut[1:], strict=False)]
-    keyed = distinct.select("simhash", F.posexplode(F.array(*part)).alias("band", "bits"))
-    x, y = keyed.select(F.col("simhash").alias("x"), "band", "bits"), keyed.select(F.col("simhash").alias("y"), "band", "bits")
+    keyed = distinct.select("simhash", F.posexplode(F.array(*(keys(*x) for x in pairwise(cut)))).alias("block", "keys")).select("simhash", "block", F.explode("keys").alias("key"))
+    x, y = keyed.select(F.col("simhash").alias("x"), "block", "key"), keyed.select(F.col("simhash").alias("y"), "block", "key")
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    met = x.join(y, ["band", "bits"]).filter((F.col("x") < F.col("y")) & (apart <= distance)).select("x", "y", apart.alias("distance")).distinct()
+    met = x.join(y, ["block", "key"]).filter((F.col("x") < F.col("y")) & (apart <= distance)).select("x", "y", apart.alias("distance")).distinct()
     a, b = prints.select(F.col("id").alias("a"), F.col("simhash").alias("x")), prints.select(F.col("id").alias("b"), F.col("simhash").alias("y"))
     far = met.join(a, "x").join(b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     same = a.join(b.withColumnRenamed("y", "x"), "x").filter("a < b").select("a", "b", F.lit(0).alias("distance"))
     return far.unionByName(same)
 
 
+def near_clusters(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(id, leader) of every id that is near another: as leaders() of near_pairs() gives them.
+
+    Ids of one print stand or fall together under the least of them, so only that one is
+    compared, however many copies there are.
+    """
+    rows = prints.select("id", "simhash")
+    prime = rows.groupBy("simhash").agg(F.min("id").alias("prime"), F.count("*").alias("n"))
+    led = leaders(near_pairs(prime.select(F.col("prime").alias("id"), "simhash"), distance)).select(F.col("id").alias("prime"), "leader")
+    return rows.join(prime, "simhash").join(led, "prime", "left").select("id", F.coalesce("leader", F.when(F.col("n") > 1, F.col("prime"))).alias("leader")).filter("leader is not null")
+
+
 def leaders(pairs: DataFrame) -> DataFrame:
     """(id, leader): each id in order leads those near it that no earlier one has taken.
 

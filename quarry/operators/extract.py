@@ -322,6 +322,12 @@ def review_suspicious(claimed: Column, shown: Column, ratio: float = 3.0, least:
     return F.when(claimed.isNull() | (claimed < least), False).when(shown == 0, True).otherwise(claimed / shown >= ratio)
 
 
+def review_reason(claimed: Column, shown: Column, ratio: float = 3.0, least: int = 10) -> Column:
+    """Why reviews are suspicious; null where they are not."""
+    times = F.format_string("%d reviews claimed, %d on the page (%.1f times)", claimed, shown, claimed / shown)
+    return F.when(review_suspicious(claimed, shown, ratio, least), F.when(shown == 0, F.format_string("%d reviews claimed, none on the page", claimed)).otherwise(times))
+
+
 def is_furniture(heading: Column, phrases: list[str] = FURNITURE) -> Column:
     t = F.regexp_replace(F.lower(F.trim(F.regexp_replace(heading, r"\s+", " "))), ":+$", "")
     return F.exists(F.array(*map(F.lit, phrases)), lambda p: (t == p) | F.startswith(t, F.concat(p, F.lit(" "))))
@@ -368,7 +374,7 @@ def page_table(pages: DataFrame, lang: str = "en", furniture: list[str] = FURNIT
         *(c for c in pages.columns if c not in ("html", "status", "error", "in_sitemap", "discovered_by", "depth", "redirect_chain")),
         "status", "error", "in_sitemap", "discovered_by", "depth", "redirect_chain", F.size("redirect_chain").alias("redirect_hops"),
         "title", F.coalesce(F.length("title"), F.lit(0)).alias("title_length"), length_issue(F.col("title"), TITLE_RANGE).alias("title_issue"),
-        "meta_description", length_issue(F.col("meta_description"), DESCRIPTION_RANGE).alias("meta_description_issue"),
+        "meta_description", F.coalesce(F.length("meta_description"), F.lit(0)).alias("meta_description_length"), length_issue(F.col("meta_description"), DESCRIPTION_RANGE).alias("meta_description_issue"),
         "canonical", state.alias("canonical_state"), "noindex", "nofollow", F.when(F.col("robots_source") != "", F.col("robots_source")).alias("robots_directive_source"),
         viewport.alias("viewport"), og.alias("og_image"), F.array_compact(F.array(*(F.when(v.isNull(), F.lit(k)) for k, v in social.items()))).alias("missing_social"),
         F.col("alternates").alias("hreflang"), F.exists("alternates", lambda a: F.lower(a["lang"]) == "x-default").alias("hreflang_x_default"),
@@ -388,7 +394,7 @@ def page_table(pages: DataFrame, lang: str = "en", furniture: list[str] = FURNIT
         price_consistent(F.array(parts["og:price:amount"], parts["product:price:amount"], parts["product:sale_price:amount"], parts["itemprop:price"]), F.col("f.product.prices"), parts["og:price:standard_amount"], parts["product:sale_price:amount"]).alias("price_consistent"),
         (F.size(currencies) <= 1).alias("currency_consistent"), (F.arrays_overlap("f.product.types", F.array(F.lit("Product"), F.lit("ProductGroup"))) | (F.size("prices") > 0)).alias("is_product"),
         F.col("f.product.availability").alias("availability"), F.col("f.product.group_id").alias("product_group_id"), F.col("f.product.rating").alias("rating_value"),
-        F.col("f.product.reviews").alias("review_schema_count"), F.col("f.review_blocks").alias("review_onpage_count"), review_suspicious(F.col("f.product.reviews"), F.col("f.review_blocks")).alias("review_suspicious"),
+        F.col("f.product.reviews").alias("review_schema_count"), F.col("f.review_blocks").alias("review_onpage_count"), review_suspicious(F.col("f.product.reviews"), F.col("f.review_blocks")).alias("review_suspicious"), review_reason(F.col("f.product.reviews"), F.col("f.review_blocks")).alias("review_reason"),
         (F.coalesce(F.substring_index("f.html_lang", "-", 1), F.lit(lang)) != lang).alias("spellcheck_skipped"), F.col("f.spell_text").alias("spell_text"), F.col("f.body").alias("body"),
     )
     total, furnished = F.size("furniture_headings") + F.size("content_headings"), F.size("furniture_headings")

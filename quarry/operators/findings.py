@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +86,7 @@ JOINED = {
 #: Columns that other steps add, and what stands for them until then.
 OPTIONAL = {
     "spelling_title": "array()", "spelling_meta": "array()", "spelling_h1": "array()", "spelling_body_count": "0", "images_oversized": "array()", "inlinks": "0",
+    "largest_image_kb": "0", "images_sized": "false", "robots_directive_source": "cast(null as string)",
 }
 
 
@@ -93,8 +95,66 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == HIGH, 0).when(severity == MED, 1).otherwise(2)
 
 
-def gather(hits: DataFrame) -> DataFrame:
-    """hits (severity, category, issue, part, why, url) as findings.
+def page_details(pages: DataFrame) -> DataFrame:
+    """(issue, more): what a finding's detail says beyond the number of its pages, from one aggregate over the pages.
+
+    Sums over the pages of a finding, and its worst page; at equal worth the first url is the worst.
+    """
+    p = completed(pages)
+    when = {r.issue: F.expr(r.when) for r in RULES}
+    size = lambda c: F.size(c)
+    worst = lambda c, measure: F.min(F.when(c, F.struct((-measure).alias("m"), "url")))
+    hops, typos, alts, eager = "Redirect chains longer than one hop", "Typos in body content", "Images missing alt text", "Below-fold images load eagerly"
+    heavy, reviews, thin, no, titles = "Oversized images", RULES[7].issue, "Thin content", "Noindex on internally linked pages", "Typos in title or meta description"
+    kb = F.col("largest_image_kb")
+    header = F.contains(F.coalesce("robots_directive_source", F.lit("")), F.lit("header"))
+    one = p.agg(
+        worst(when[hops], F.col("redirect_hops")).alias("hops"), worst(when[typos], F.col("spelling_body_count")).alias("typos"), F.sum(F.when(when[typos], F.col("spelling_body_count"))).alias("n_typos"),
+        F.sum(F.when(when[alts], F.col("images_missing_alt"))).alias("alts"), F.sum(F.when(when[eager], F.col("imgs_eager_belowfold_count"))).alias("eager"),
+        worst(when[heavy], kb).alias("heavy"), F.sum(F.when(when[heavy], size("images_oversized"))).alias("n_heavy"), F.count_if(F.expr("status = 200 and images_sized")).alias("sized"), F.count_if(F.expr("status = 200 and not images_sized")).alias("skipped"),
+        F.floor(F.sum(F.when(when[thin], F.col("word_count"))) / F.greatest(F.lit(1), F.count_if(when[thin]))).alias("thin"), F.count_if(when[no] & header).alias("by_header"),
+        F.sum(F.when(when[titles], size("spelling_title") + size("spelling_meta"))).alias("n_titles"), worst(when[reviews], F.col("review_schema_count")).alias("reviews"),
+    )
+    said = {
+        hops: F.concat(F.lit("the longest is "), -F.col("hops.m"), F.lit(" hops: "), "hops.url"),
+        typos: F.concat("n_typos", F.lit(" words; the most, "), -F.col("typos.m"), F.lit(", on "), "typos.url"),
+        titles: F.concat("n_titles", F.lit(" words")),
+        alts: F.concat("alts", F.lit(" images")), eager: F.concat("eager", F.lit(" images")),
+        heavy: F.concat("n_heavy", F.lit(" images; the heaviest, "), -F.col("heavy.m"), F.lit(" KB, on "), "heavy.url", F.when(F.col("skipped") > 0, F.concat(F.lit("; "), "sized", F.lit(" pages measured, "), "skipped", F.lit(" like them not"))).otherwise("")),
+        thin: F.concat("thin", F.lit(" words on average")),
+        no: F.when(F.col("by_header") > 0, F.concat("by_header", F.lit(" of them by the X-Robots-Tag header"))),
+        reviews: F.concat(-F.col("reviews.m"), F.lit(" reviews claimed on "), "reviews.url"),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("issue"), v.alias("more")) for k, v in said.items()))
+    return one.select(F.explode(pairs).alias("d")).select("d.*").filter("more is not null")
+
+
+def joined_details(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(issue, more) of the findings that need joins: groups and the largest, example links, the commonest anchors."""
+
+    def groups(column: str, key: str) -> DataFrame:
+        sizes = site.duplicate_groups(pages, column).groupBy("value").agg(F.max("group_size").alias("n"))
+        return sizes.agg(F.count("*").alias("groups"), F.max("n").alias("most")).filter("groups > 0").select(F.lit(JOINED[key][2]).alias("issue"), F.concat("groups", F.lit(" groups, the largest of "), "most").alias("more"))
+
+    def examples(rows: DataFrame, key: str, line: Column, order: list, top: int) -> DataFrame:
+        few = rows.orderBy(*order).limit(top).select(line.alias("line"), F.struct(*order_keys(order)).alias("o"))
+        return few.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "; ").alias("more")).filter("more <> ''").select(F.lit(JOINED[key][2]).alias("issue"), "more")
+
+    def order_keys(order: list) -> list[Column]:
+        return [F.col(c) for c in order]
+
+    broken = site.broken_links(pages, links).groupBy("source").agg(F.count("*").alias("n"), F.min(F.struct("target", F.coalesce(F.col("status").cast("string"), F.lit("failed")).alias("status"))).alias("first")).withColumn("less", -F.col("n"))
+    shown = F.concat("source", F.lit(" -> "), "first.target", F.lit(" ("), "first.status", F.lit(")"), F.when(F.col("n") > 1, F.concat(F.lit(" and "), F.col("n") - 1, F.lit(" more"))).otherwise(""))
+    anchors = site.anchor_mismatch(pages, links).groupBy("anchor").agg(F.countDistinct("source").alias("n")).withColumn("less", -F.col("n"))
+    parts = [
+        groups("title", "title"), groups("meta_description", "description"), groups("content_hash", "content"),
+        examples(broken, "broken", shown, ["source"], 5), examples(anchors, "anchors", F.concat(F.lit("'"), "anchor", F.lit("' on "), "n", F.lit(" pages")), ["less", "anchor"], 4),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gather(hits: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """hits (severity, category, issue, part, why, url) as findings; details: (issue, more).
 
     A finding keeps its first URL_LIMIT urls and the number of all; row_number under
     a limit is cut before the shuffle too, so no task holds a finding's every url.
@@ -106,7 +166,11 @@ def gather(hits: DataFrame) -> DataFrame:
     some = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= URL_LIMIT).groupBy(*key).agg(F.sort_array(F.collect_list("url")).alias("urls"))
     out = totals.join(some, key)
     detail = F.concat(F.format_string("%d pages", "total_count"), F.when(F.col("part") != "", F.concat(F.lit(", "), F.col("part"))).otherwise(""), F.when(F.col("total_count") > URL_LIMIT, F.format_string(" (showing first %d)", F.lit(URL_LIMIT))).otherwise(""))
-    return out.select("severity", "category", "issue", "urls", F.size("urls").alias("count"), "total_count", detail.alias("detail"), F.col("why").alias("why_it_matters"))
+    out = out.select("severity", "category", "issue", "urls", F.size("urls").alias("count"), "total_count", detail.alias("detail"), F.col("why").alias("why_it_matters"))
+    if details is None:
+        return out
+    told = out.join(F.broadcast(details), "issue", "left")  # one row an issue
+    return told.withColumn("detail", F.concat("detail", F.when(F.col("more").isNotNull(), F.concat(F.lit("; "), "more")).otherwise(""))).select(*out.columns)
 
 
 def completed(pages: DataFrame) -> DataFrame:
@@ -147,8 +211,7 @@ def joined_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
     ]
     if "simhash" in pages.columns:
         rest = pages.filter("indexable and simhash <> 0 and word_count >= 50").select("url", "simhash").join(exact.select("url"), "url", "left_anti")
-        pairs = dups.near_pairs(rest.withColumnRenamed("url", "id"))
-        parts.append(named(dups.leaders(pairs), "near", url="id"))
+        parts.append(named(dups.near_clusters(rest.withColumnRenamed("url", "id")), "near", url="id"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -158,7 +221,7 @@ def joined_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
 def findings(pages: DataFrame, links: DataFrame) -> DataFrame:
     """All findings, the gravest and largest first."""
     hits = store.written(page_hits(pages).unionByName(joined_hits(pages, links)), "hits")
-    return gather(hits).orderBy(severity_rank(F.col("severity")), F.desc("count"), "issue")
+    return gather(hits, page_details(pages).unionByName(joined_details(pages, links))).orderBy(severity_rank(F.col("severity")), F.desc("count"), "issue")
 
 
 def status_class(status: Column) -> Column:
@@ -213,6 +276,15 @@ def psi_findings(psi: DataFrame) -> DataFrame:
     return hits.select("r.*", "url")
 
 
+def psi_details(psi: DataFrame) -> DataFrame:
+    """(issue, more): the worst page of each metric; at equal values the first url."""
+    lcp, cls = (F.coalesce(F.when(F.col(f) != 0, F.col(f)), F.col(lab)) for f, lab in (("field_lcp_ms", "lcp_ms"), ("field_cls", "cls")))
+    worst = {"LCP above 2.5s": (-lcp, "%.0f ms"), "CLS above 0.1": (-cls, "%.3f"), "Total Blocking Time above 200ms": (-F.col("tbt_ms"), "%.0f ms"), "Low PageSpeed performance score": (F.col("performance_score"), "%.2f")}
+    one = psi.filter("error is null").agg(*(F.min(F.when(m.isNotNull(), F.struct(m.alias("m"), "url"))).alias(f"w{i}") for i, (m, _) in enumerate(worst.values())))
+    pairs = F.array(*(F.struct(F.lit(k).alias("issue"), F.concat(F.lit("the worst, "), F.format_string(f, F.abs(f"w{i}.m")), F.lit(", on "), f"w{i}.url").alias("more")) for i, (k, (_, f)) in enumerate(worst.items())))
+    return one.select(F.explode(pairs).alias("d")).select("d.*").filter("more is not null")
+
+
 def psi_targets(pages: DataFrame, top: int = 10) -> DataFrame:
     """The pages to measure: the most linked, then the shallowest."""
     return pages.filter("indexable").orderBy(F.desc("inlinks"), F.size(urls.segments(F.col("url"))), "url").select("url", "inlinks").limit(top)

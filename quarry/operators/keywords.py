@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,25 +134,79 @@ def ranked(mapped: DataFrame) -> DataFrame:
 
 
 def gap_clusters(gaps: DataFrame) -> DataFrame:
-    """(head, keywords, size, volume): the commonest two-word run takes all that hold it, again and again.
+    """(head, keywords, size, volume, action): the commonest two-word run takes all that hold it, again and again.
 
-    Each round is one aggregation of what is left, and ends once no run is shared; what
-    is left then stands alone.  Ties go to the first run in order.
+    A run that is the commonest of all runs of each keyword that holds it will be taken
+    with just these keywords whatever is taken before, so each round takes all such runs
+    at once; what shares no run at the end stands alone.  Ties go to the first run.
     """
     spark = gaps.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(store.shared_dir(spark))
     words = text.target_tokens(F.col("normalized"))
     runs = F.when(F.size(words) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, F.lit(2)), " ")))).otherwise(F.array().cast("array<string>"))
-    left, out = gaps.select("normalized", "volume_mid", runs.alias("runs")).checkpoint(), []
-    while True:
-        top = left.select(F.explode("runs").alias("run")).groupBy("run").count().filter("count >= 2").orderBy(F.desc("count"), "run").first()
-        if top is None:
+    left = gaps.select("normalized").distinct().select("normalized", F.explode(runs).alias("run")).checkpoint()
+    taken: DataFrame | None = None
+    for n in count(1):
+        sizes = left.groupBy("run").agg(F.count("*").alias("n")).filter("n >= 2")
+        best = left.join(sizes, "run").groupBy("normalized").agg(F.min(F.struct((-F.col("n")).alias("n"), "run")).alias("b")).select("normalized", "b.run", (-F.col("b.n")).alias("n"))
+        whole = best.groupBy("run", "n").agg(F.count("*").alias("have")).filter("have = n").select("run")
+        got = best.join(whole, "run").select("normalized", F.col("run").alias("head")).checkpoint()
+        if got.isEmpty():
             break
-        has = F.array_contains("runs", top.run)
-        out.append(left.filter(has).select(F.lit(top.run).alias("head"), "normalized", "volume_mid"))
-        left = left.filter(~has).checkpoint()
-    out.append(left.select(F.col("normalized").alias("head"), "normalized", "volume_mid"))
-    every = reduce(DataFrame.unionByName, out)
+        taken = got if taken is None else taken.unionByName(got)
+        taken = taken if n % 20 else taken.checkpoint()
+        left = left.join(got.select("normalized"), "normalized", "left_anti").checkpoint()
+    rows = gaps.select("normalized", "volume_mid")
+    every = rows.withColumn("head", F.col("normalized")) if taken is None else rows.join(taken, "normalized", "left").withColumn("head", F.coalesce("head", "normalized"))
     members = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("volume_mid")).alias("v"), "normalized"))), lambda m: m["normalized"])
-    return every.groupBy("head").agg(members.alias("keywords"), F.count("*").alias("size"), F.sum("volume_mid").alias("volume")).orderBy(F.desc("volume"), F.desc("size"), "head")
+    out = every.groupBy("head").agg(members.alias("keywords"), F.count("*").alias("size"), F.sum("volume_mid").alias("volume"))
+    return out.withColumn("action", action()).orderBy(F.desc("volume"), F.desc("size"), "head")
+
+
+def action() -> Column:
+    """What to do about a cluster, in a line."""
+    number = F.concat(F.col("size"), F.when(F.col("size") == 1, " keyword").otherwise(" keywords"))
+    return F.concat(number, F.lit(" with "), F.format_number(F.col("volume").cast("bigint"), 0), F.lit(" searches and no page of their own: consider a collection or landing page for '"), "head", F.lit("'"))
+
+
+def page_targets(pages: DataFrame, indexable_only: bool = True) -> DataFrame:
+    """(url, title, h1, product_group_id, inlinks) from a live page table or a stored sheet of pages.
+
+    Columns are found by name, in any case, as the table or the sheet has them; what isn't
+    there is lenient: a page without a status or a word on being indexable may be a target.
+    """
+    have = {c.strip().lower(): c for c in pages.columns}
+
+    def cell(*names: str) -> Column:
+        return next((F.col(f"`{have[n]}`") for n in names if n in have), F.lit(None).cast("string"))
+
+    if "url" not in have:
+        raise ValueError("the pages have no url column")
+    rows = pages.filter(F.coalesce(cell("url").cast("string"), F.lit("")) != "")
+    if indexable_only:
+        said = F.lower(F.coalesce(cell("indexable").cast("string"), F.lit("yes")))
+        rows = rows.filter(F.coalesce(cell("status").try_cast("int"), F.lit(200)) == 200).filter(~said.isin("no", "false"))
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    group = F.trim(blank(cell("product_group_id", "product group", "product group id")))
+    return rows.select(
+        cell("url").cast("string").alias("url"), blank(cell("title")).alias("title"), blank(cell("h1")).alias("h1"),
+        F.when(group != "", group).alias("product_group_id"), F.coalesce(cell("inlinks").try_cast("int"), F.lit(0)).alias("inlinks"),
+    )
+
+
+def status_counts(mapped: DataFrame) -> DataFrame:
+    """(status, n) of all four, 0 where there are none."""
+    every = mapped.sparkSession.createDataFrame([(s,) for s in ("OWNED", "WEAK", "GAP", "CANNIBAL")], "status string")
+    return every.join(mapped.groupBy("status").agg(F.count("*").alias("n")), "status", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def sheets(mapped: DataFrame, clusters: DataFrame) -> dict[str, DataFrame]:
+    """The keyword sheets: the map by urgency, the gaps by cluster, and who competes."""
+    pages = F.array_join(F.transform("contenders", lambda c: F.format_string("%s (%.2f)", c["url"], c["score"])), "\n")
+    rival = F.explode("contenders").alias("c")
+    return {
+        "keyword_map": ranked(mapped).select("normalized", "volume_mid", "status", "score", "owner", "owner_page_type", F.size("contenders").alias("rivals"), pages.alias("contenders"), "inverted"),
+        "gaps": clusters.select("head", "size", "volume", "action", F.array_join("keywords", ", ").alias("keywords")),
+        "cannibalization": mapped.filter("status = 'CANNIBAL'").select("normalized", "volume_mid", "owner", rival).select("normalized", "volume_mid", "owner", "c.url", "c.page_type", "c.score").orderBy(F.desc("volume_mid"), "normalized", F.desc("score"), "url"),
+    }

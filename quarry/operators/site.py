@@ -95,10 +95,25 @@ def sample_images(pages: DataFrame, per_template: int = 25) -> DataFrame:
     return pages.join(first.select("url", F.lit(True).alias("images_sized")), "url", "left").withColumn("images_sized", F.coalesce("images_sized", F.lit(False)))
 
 
-def oversized_images(pages: DataFrame, sizes: DataFrame, limit: int = 307_200, head: int = 5) -> DataFrame:
-    """(url, src, bytes) of images above the limit; sizes: (src, bytes), each source fetched once."""
-    wanted = pages.filter("images_sized").select("url", F.explode(F.slice("image_sources", 1, head)).alias("src"))
-    return wanted.join(sizes.dropDuplicates(["src"]), "src").filter(F.col("bytes") > limit).select("url", "src", "bytes")
+def wanted_images(pages: DataFrame, head: int = 5) -> DataFrame:
+    """(url, place, src) of the first images of each page that is sampled."""
+    return pages.filter("images_sized and status = 200").select("url", F.posexplode(F.slice("image_sources", 1, head)).alias("place", "src"))
+
+
+def with_image_sizes(pages: DataFrame, sizes: DataFrame, limit: int = 307_200, head: int = 5) -> DataFrame:
+    """pages with images_oversized ("src (N KB)", in page order) and largest_image_kb; sizes: (src, bytes), null where unknown."""
+    known = sizes.groupBy("src").agg(F.max("bytes").alias("bytes"))
+    met = wanted_images(pages, head).join(known, "src").filter("bytes is not null")
+    kb = F.floor(F.col("bytes") / 1024)
+    heavy = F.sort_array(F.collect_list(F.when(F.col("bytes") > limit, F.struct("place", F.concat("src", F.lit(" ("), kb, F.lit(" KB)")).alias("text")))))
+    found = met.groupBy("url").agg(F.transform(heavy, lambda x: x["text"]).alias("images_oversized"), F.floor(F.max("bytes") / 1024).cast("int").alias("largest_image_kb"))
+    out = pages.drop("images_oversized", "largest_image_kb").join(found, "url", "left")
+    return out.withColumns({"images_oversized": F.coalesce("images_oversized", F.array().cast("array<string>")), "largest_image_kb": F.coalesce("largest_image_kb", F.lit(0))})
+
+
+def image_coverage(pages: DataFrame) -> DataFrame:
+    """(sized, skipped): how many good pages had their images measured."""
+    return pages.filter("status = 200").agg(F.count_if("images_sized").alias("sized"), F.count_if(~F.col("images_sized")).alias("skipped"))
 
 
 def merged_review_pools(pages: DataFrame) -> DataFrame:

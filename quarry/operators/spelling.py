@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
+
 # Rewrites from British to American spelling, each tried by itself, and trade words that count as known.
 VARIANTS = [
     (r"our(s|ed|ing|ite)?$", "or$1"),
@@ -45,15 +49,51 @@ def variants(word: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*(F.regexp_replace(word, p, r) for p, r in VARIANTS)), lambda v: v != word))
 
 
-def unknown(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(id, token): tokens of (id, text) any part of which is neither in the dictionary (word) nor has a variant there."""
-    parts = texts.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).select("id", "token", F.explode(subwords(F.col("token"))).alias("word"))
+def unknown_at(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, place, token): tokens of (id, text) any part of which is neither in the dictionary (word) nor has a variant there.
+
+    place counts a text's distinct tokens from 0.  The texts are read once: their parts are written.
+    """
+    placed = texts.select("id", F.posexplode(F.array_distinct(tokens(F.col("text")))).alias("place", "token"))
+    parts = store.written(placed.select("id", "place", "token", F.explode(subwords(F.col("token"))).alias("word")), "spelling")
     distinct = parts.select("word").distinct()
     forms = distinct.select("word", F.explode(F.array_append(variants(F.col("word")), F.col("word"))).alias("form"))
     trade = texts.sparkSession.createDataFrame([(w,) for w in ALLOWED], "form string")
     words = dictionary.select(F.lower("word").alias("form")).unionByName(trade).distinct()
     known = forms.join(words, "form", "left_semi").select("word").distinct()
-    return parts.join(known, "word", "left_anti").select("id", "token").distinct()
+    return parts.join(known, "word", "left_anti").select("id", "place", "token").distinct()
+
+
+def unknown(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, token) of unknown_at()."""
+    return unknown_at(texts, dictionary).select("id", "token").distinct()
+
+
+def site_words(url: str) -> list[str]:
+    """A site's own name and its parts: never typos there."""
+    host = url.split("//", 1)[-1].split("/", 1)[0].split(":", 1)[0].lower().removeprefix("www.")
+    return sorted({host, *(p for p in re.split(r"[._-]", host) if len(p) > 2)} - {""})
+
+
+def with_spelling(pages: DataFrame, dictionary: DataFrame, whitelist: list[str] = (), min_pages: int = 3, limit: int = BODY_LIMIT) -> DataFrame:
+    """pages with spelling_title, _meta, _h1, _body (in order of appearance, the first limit of the body) and _body_count.
+
+    Words of the whitelist never count; brand terms (see brand_terms) are taken out after
+    the body's limit.  Pages in other languages (spellcheck_skipped) have no typos.
+    """
+    fields = {"title": "title", "meta": "meta_description", "h1": "h1", "body": "spell_text"}
+    part = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).alias("text")) for k, c in fields.items()))).alias("p")
+    texts = pages.filter("not coalesce(spellcheck_skipped, false)").select("url", part).select(F.struct("url", "p.field").alias("id"), "p.text").filter("text is not null")
+    allow = pages.sparkSession.createDataFrame([(w.lower(),) for w in whitelist], "term string")
+    found = without_brands(unknown_at(texts, dictionary), allow).select("id.url", "id.field", "place", "token")
+    w = Window.partitionBy("url", "field").orderBy("place", "token")
+    first = found.withColumn("n", F.row_number().over(w)).filter((F.col("field") != "body") | (F.col("n") <= limit))
+    kept = without_brands(first, brand_terms(pages.select("url", "body"), min_pages))
+    names = [f"spelling_{k}" for k in fields]
+    of = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == k, F.struct("n", "token")))), lambda x: x["token"]).alias(f"spelling_{k}")
+    lists = kept.groupBy("url").agg(*map(of, fields))
+    out = pages.drop(*names, "spelling_body_count").join(lists, "url", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in names})
+    return out.withColumn("spelling_body_count", F.size("spelling_body"))
 
 
 def brand_terms(pages: DataFrame, min_pages: int = 3) -> DataFrame:
@@ -66,4 +106,4 @@ def brand_terms(pages: DataFrame, min_pages: int = 3) -> DataFrame:
 
 
 def without_brands(found: DataFrame, brands: DataFrame) -> DataFrame:
-    return found.join(brands.select("term"), F.lower(found["token"]) == F.col("term"), "left_anti")
+    return found.withColumn("_term", F.lower("token")).join(brands.select(F.col("term").alias("_term")), "_term", "left_anti").drop("_term")

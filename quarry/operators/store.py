@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir as the session has it; a local folder only where it is unset."""
+    """spark.checkpoint.dir as the session has it; a local folder only where it is unset on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (at or "/tmp/checkpoints").rstrip("/")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (at or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

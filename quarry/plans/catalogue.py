@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text, urls
@@ -39,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").withColumn("url", urls.normalize(F.col("url")))
-    p = p.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    first = p.groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id")  # ids are dealt, not html
+    p = p.join(first, "page_id", "left_semi")
     k = F.col("page_id")
     status = F.when(k % 31 == 7, F.lit(None)).when(k % 23 == 5, 404).when(k % 29 == 3, 500).otherwise(200).cast("int")
     first, second = F.concat(F.lit("301 -> "), "url", F.lit("/moved")), F.concat(F.lit("302 -> "), F.when(k % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/again"))))
@@ -319,7 +320,7 @@ def near_dup_pairs(spark, sf_dir):
 
 @query()
 def near_dup_clusters(spark, sf_dir):
-    return dups.leaders(dups.near_pairs(_prints(spark, sf_dir)))
+    return dups.near_clusters(_prints(spark, sf_dir))
 
 
 @query()
@@ -486,11 +487,11 @@ def keyword_dedupe(spark, sf_dir):
     return keywords.clean(_keywords(spark, sf_dir), **_FILTERS).select("normalized", "row_idx", F.col("volume.mid").alias("mid"))
 
 
-def _shop(spark: SparkSession, sf_dir: str, keep: str = "p_partkey < 60") -> DataFrame:
-    """Part types as a shop's pages: those that _SQL_SHOP has, or others."""
+def _shop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a shop's page."""
     p = table(spark, sf_dir, "part")
     kind = F.get(F.array(F.lit("products"), F.lit("collections"), F.lit("pages")), (F.col("p_partkey") % 3).cast("int"))
-    return p.filter(keep).select(F.concat(F.lit("https://s.example.com/"), kind, F.lit("/"), F.regexp_replace(F.lower("p_name"), " ", "-"), F.lit("-"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_type").alias("title"), F.col("p_brand").alias("h1"))
+    return p.select(F.concat(F.lit("https://s.example.com/"), kind, F.lit("/"), F.regexp_replace(F.lower("p_name"), " ", "-"), F.lit("-"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_type").alias("title"), F.col("p_brand").alias("h1"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -502,7 +503,7 @@ def _sql_tokens(c: str) -> str:
 
 
 _SQL_SHOP = f"""
-shop AS (SELECT 'https://s.example.com/' || ['products', 'collections', 'pages'][p_partkey % 3 + 1] || '/' || replace(lower(p_name), ' ', '-') || '-' || p_partkey AS url, ['product', 'collection', 'static'][p_partkey % 3 + 1] AS page_type, p_type AS title, p_brand AS h1 FROM part WHERE p_partkey < 60),
+shop AS (SELECT 'https://s.example.com/' || ['products', 'collections', 'pages'][p_partkey % 3 + 1] || '/' || replace(lower(p_name), ' ', '-') || '-' || p_partkey AS url, ['product', 'collection', 'static'][p_partkey % 3 + 1] AS page_type, p_type AS title, p_brand AS h1 FROM part),
 fields AS (SELECT url, unnest({_sql_tokens("regexp_replace(" + _sql_path("url") + ", '[/_.-]+', ' ', 'g')")}) AS token, 3 AS weight FROM shop
   UNION ALL SELECT url, unnest({_sql_tokens('title')}), 2 FROM shop UNION ALL SELECT url, unnest({_sql_tokens('h1')}), 2 FROM shop),
 onpage AS (SELECT url, token, max(weight) AS weight FROM fields GROUP BY ALL),
@@ -543,10 +544,94 @@ def keyword_map(spark, sf_dir):
 
 @query()
 def gap_clusters(spark, sf_dir):
-    m = keywords.keyword_map(_demand(spark, sf_dir), _shop(spark, sf_dir, "true"))
+    m = keywords.keyword_map(_demand(spark, sf_dir), _shop(spark, sf_dir))
     return keywords.gap_clusters(m.filter("status <> 'OWNED'").select("normalized", "volume_mid"))
 
 
+# markup that the pages of the tables lack, made from page_id: every judgement has pages that pass and pages that fail
+
+
+def _marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    url = F.concat(F.lit("https://m.example.com/p/"), k)
+    when = lambda c, s: F.when(c, s if isinstance(s, Column) else F.lit(s)).otherwise("")
+    head = F.concat(
+        F.lit("<html lang=en><head><title>T</title>"),
+        when(k % 4 == 0, F.concat(F.lit('<link rel=canonical href="'), url, F.lit('">'))), when(k % 4 == 1, "<link rel=canonical href=https://other.org/x>"), when(k % 4 == 2, "<link rel=canonical href=/q>"),
+        when(k % 5 == 0, '<meta name=robots content="NoIndex, follow">'), when(k % 5 == 1, "<meta name=googlebot content=none>"), when(k % 3 == 0, "<meta name=viewport content=w>"),
+        when(k % 6 == 0, "<meta property=og:image content=i.png>"), when(k % 2 == 0, "<meta property=og:title content=t>"), when(k % 7 == 0, "<meta name=twitter:card content=c>"),
+        when(k % 8 > 0, F.concat(F.lit("<meta name=description content="), F.repeat(F.lit("d"), (k % 8 * 40).cast("int")), F.lit(">"))),
+        when(k % 3 == 1, F.concat(F.lit("<link rel=alternate hreflang=en href="), url, F.lit("><link rel=alternate hreflang=x-default href=/>"))), when(k % 3 == 2, "<link rel=alternate hreflang=english href=/e>"),
+    )
+    body = F.concat(
+        F.lit("</head><body>"), when(k % 4 == 0, "<h1>A</h1><h2>B</h2><h3>C</h3>"), when(k % 4 == 1, "<h2>A</h2><h1>B</h1>"), when(k % 4 == 2, "<h1>A</h1><h3>B</h3>"), F.lit("<p>Some words are here.</p>"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i < k % 5, F.when(i % 2 == 0, "<img src=/i.png alt=x>").otherwise("<img src=/i.png>")).otherwise("")), ""), F.lit("</body></html>"),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.concat(head, body).alias("html"))
+
+
+_SQL_MARKUP = f"""
+m AS (SELECT page_id, page_id AS k, ['self', 'cross-domain', 'other', 'missing'][page_id % 4 + 1] AS canonical_state, page_id % 5 < 2 AS noindex, page_id % 5 = 1 AS nofollow,
+  CASE WHEN page_id % 5 < 2 THEN 'meta' END AS robots_directive_source,
+  array_to_string(list_filter([CASE WHEN page_id % 3 <> 0 THEN 'viewport' END, CASE WHEN page_id % 2 <> 0 THEN 'og:title' END, CASE WHEN page_id % 6 <> 0 THEN 'og:image' END, CASE WHEN page_id % 7 <> 0 THEN 'twitter:card' END], lambda x: x IS NOT NULL), ' ') AS missing_social,
+  (page_id % 8 * 40)::INT AS meta_description_length,
+  CASE WHEN page_id % 8 = 0 THEN 'missing' WHEN page_id % 8 * 40 < {extract.DESCRIPTION_RANGE[0]} THEN 'too short' WHEN page_id % 8 * 40 > {extract.DESCRIPTION_RANGE[1]} THEN 'too long' ELSE '' END AS meta_description_issue,
+  page_id % 3 = 1 AS hreflang_x_default, page_id % 3 = 1 AS hreflang_self, CASE WHEN page_id % 3 = 2 THEN 'english' ELSE '' END AS hreflang_invalid,
+  CASE WHEN page_id % 4 = 3 THEN 0 ELSE 1 END AS h1_count, ['', 'first heading is h2, not h1', 'h3 appears before any h2', ''][page_id % 4 + 1] AS heading_issues,
+  (page_id % 5)::INT AS image_count, (page_id % 5 // 2)::INT AS images_missing_alt FROM pages)"""
+
+
+@query(f"WITH {_SQL_MARKUP} SELECT * EXCLUDE (k) FROM m")
+def markup_checks(spark, sf_dir):
+    p = extract.page_table(_marked_up(spark, sf_dir))
+    flat = lambda c, by: F.array_join(c, by).alias(c)
+    return p.select(
+        "page_id", "canonical_state", "noindex", "nofollow", "robots_directive_source", flat("missing_social", " "), "meta_description_length", "meta_description_issue", "hreflang_x_default", "hreflang_self", flat("hreflang_invalid", " "),
+        "h1_count", flat("heading_issues", "; "), "image_count", "images_missing_alt",
+    )
+
+
+@query(f"""WITH {_SQL_MARKUP},
+i AS (SELECT *, NOT noindex AND canonical_state IN ('self', 'missing') AS indexable FROM m),
+h AS (SELECT unnest(list_filter([
+  CASE WHEN noindex AND k % 9 > 0 THEN 'Noindex on internally linked pages' END, CASE WHEN canonical_state = 'cross-domain' THEN 'Canonical points to another domain' END, CASE WHEN canonical_state = 'missing' THEN 'Missing canonical tag' END,
+  CASE WHEN indexable AND k % 3 = 2 THEN 'Missing x-default' END, CASE WHEN indexable AND k % 3 = 2 THEN 'hreflang set missing a self-reference' END, CASE WHEN indexable AND k % 3 = 2 THEN 'Invalid hreflang language codes' END,
+  CASE WHEN indexable THEN 'Title too short' END, CASE WHEN indexable AND meta_description_issue = 'missing' THEN 'Missing meta description' END, CASE WHEN indexable AND meta_description_issue = 'too long' THEN 'Meta description too long' END,
+  CASE WHEN indexable AND h1_count = 0 THEN 'Missing H1' END, CASE WHEN indexable AND heading_issues <> '' THEN 'Heading order violations' END, CASE WHEN indexable THEN 'Thin content' END, CASE WHEN indexable AND images_missing_alt > 0 THEN 'Images missing alt text' END,
+  CASE WHEN indexable AND k % 3 <> 0 THEN 'Missing viewport meta tag' END, CASE WHEN indexable AND k % 6 <> 0 THEN 'Missing og:image' END,
+  CASE WHEN indexable AND k % 10 = 3 THEN 'Typos in title or meta description' END, CASE WHEN indexable AND k % 10 = 4 THEN 'Typos in H1' END, CASE WHEN indexable AND k % 10 > 5 THEN 'Typos in body content' END, CASE WHEN k % 11 = 1 THEN 'Oversized images' END], lambda x: x IS NOT NULL)) AS issue FROM i)
+SELECT issue, count(*) AS total_count FROM h GROUP BY issue""")
+def findings_markup(spark, sf_dir):
+    """The rules over pages of every kind; inlinks, typos and image sizes are laid on by page_id."""
+    k, none = F.col("page_id"), F.array().cast("array<string>")
+    laid = extract.page_table(_marked_up(spark, sf_dir)).withColumns({
+        "inlinks": k % 9, "spelling_title": F.when(k % 10 == 3, F.array(F.lit("x"))).otherwise(none), "spelling_meta": none, "spelling_h1": F.when(k % 10 == 4, F.array(F.lit("x"))).otherwise(none),
+        "spelling_body_count": F.greatest(k % 10 - 5, F.lit(0)), "images_oversized": F.when(k % 11 == 1, F.array(F.lit("x"))).otherwise(none),
+    })
+    return findings.gather(findings.page_hits(laid)).select("issue", "total_count")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    src = lambda n: F.concat(F.lit("i"), n)
+    pages = p.select(F.col("p_partkey").alias("url"), F.lit(200).alias("status"), (F.col("p_partkey") % 5 > 0).alias("images_sized"), F.array(src(F.col("p_size")), src(F.col("p_partkey") % 100), F.lit("never")).alias("image_sources"))
+    sizes = p.select(F.explode(F.array("p_size", (F.col("p_partkey") % 100).cast("int"))).alias("n")).distinct().select(src(F.col("n")).alias("src"), F.when(F.col("n") % 7 > 0, F.col("n") * 10_000).cast("bigint").alias("bytes"))
+    return pages, sizes
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS url, unnest([p_size, (p_partkey % 100)::INT]) AS n, unnest([0, 1]) AS place FROM part WHERE p_partkey % 5 > 0),
+f AS (SELECT url, string_agg('i' || n || ' (' || (n * 10000 // 1024) || ' KB)', ' ' ORDER BY place) FILTER (n * 10000 > 307200) AS o, max(n * 10000) // 1024 AS kb FROM s WHERE n % 7 > 0 GROUP BY url)
+SELECT p_partkey AS url, coalesce(o, '') AS images_oversized, coalesce(kb, 0)::INT AS largest_image_kb FROM part LEFT JOIN f ON url = p_partkey""")
+def image_sizes(spark, sf_dir):
+    return site.with_image_sizes(*_sized(spark, sf_dir)).select("url", F.array_join("images_oversized", " ").alias("images_oversized"), "largest_image_kb")
+
+
+@query("SELECT count(*) FILTER (p_partkey % 5 > 0) AS sized, count(*) FILTER (p_partkey % 5 = 0) AS skipped FROM part")
+def image_coverage(spark, sf_dir):
+    return site.image_coverage(_sized(spark, sf_dir)[0])
+
+
 # findings and reports
 
 

@@ -3,7 +3,9 @@
 Each level is one job: the frontier is what links and sitemaps name, less what was
 seen (anti-join); its hosts are fetched each within one task, so the interval between
 requests holds for a host however many executors there are.  Every level is written
-to the shared folder: a crawl that is cut off goes on from there.
+to the crawl's folder with the interval and the refusals that it ended with: a crawl
+that is called again on its folder goes on from there, and one that is stopped or
+refused returns what it has.
 """
 
 from __future__ import annotations
@@ -13,18 +15,19 @@ import urllib.error
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import urljoin, urlsplit
 from urllib.robotparser import RobotFileParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import urls
 
 FETCHED = "url string, status int, final_url string, redirect_chain array<string>, content_type string, x_robots_tag string, html string, size_bytes bigint, response_ms int, error string"
+BLOCKED = "blocked"
 
 
 class CrawlBlocked(RuntimeError):
@@ -56,14 +59,19 @@ class Answer:
     body: bytes
 
 
-def http(url: str, o: Options) -> Answer:
+def head(url: str, o: Options) -> Answer:
+    """The headers alone."""
+    return http(url, o, "HEAD")
+
+
+def http(url: str, o: Options, method: str = "GET") -> Answer:
     """One request without following redirects."""
 
     class Stay(urllib.request.HTTPRedirectHandler):
         def redirect_request(self, *args):  # noqa: ANN002
             return None
 
-    request = urllib.request.Request(url, headers={"User-Agent": o.user_agent, **o.headers})
+    request = urllib.request.Request(url, headers={"User-Agent": o.user_agent, **o.headers}, method=method)
     try:
         with urllib.request.build_opener(Stay).open(request, timeout=o.timeout) as r:
             return Answer(r.status, {k.lower(): v for k, v in r.headers.items()}, r.read())
@@ -74,22 +82,21 @@ def http(url: str, o: Options) -> Answer:
 class Fetcher:
     """Polite requests: an interval, retries that back off, a breaker for refusals."""
 
-    def __init__(self, options: Options, get: Callable[[str, Options], Answer] = http, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+    def __init__(self, options: Options, get: Callable[[str, Options], Answer] = http, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, refused: int = 0):
         self.o, self.get, self.sleep, self.clock = options, get, sleep, clock
-        self.interval, self.next, self.refused = options.delay, 0.0, 0
+        self.interval, self.due, self.refused = options.delay, None, refused
 
-    def wait(self) -> None:
+    def pace(self) -> None:
+        """Begin no request within the interval of the last one."""
         now = self.clock()
-        if self.next > now:
-            self.sleep(self.next - now)
-        self.next = max(now, self.next) + self.interval
-
-    def slow_down(self, factor: float = 2, most: float = 30) -> None:
-        self.interval = min(most, max(self.interval, 0.1) * factor)
+        if self.due is not None and (early := self.due - now) > 0:
+            self.sleep(early)
+            now = self.due
+        self.due = now + self.interval
 
     def request(self, url: str) -> Answer:
         for n in range(self.o.max_retries + 1):
-            self.wait()
+            self.pace()
             try:
                 a = self.get(url, self.o)
             except OSError:
@@ -102,8 +109,8 @@ class Fetcher:
                 raise CrawlBlocked(f"{self.refused} refusals in a row")
             if a.status != 429 and a.status < 500 or n == self.o.max_retries:
                 return a
-            if a.status == 429:
-                self.slow_down()
+            if a.status == 429:  # twice as slow from now on, half a minute at most
+                self.interval = min(30.0, 2 * max(self.interval, 0.1))
             after = a.headers.get("retry-after", "")
             self.sleep(min(float(after), 60) if after.isdigit() else min(2**n, 15))
         raise AssertionError
@@ -128,6 +135,8 @@ class Fetcher:
         began = time.monotonic()
         try:
             final, a, chain = self.follow(url)
+        except CrawlBlocked:
+            return (url, 403, None, [], None, None, None, None, None, BLOCKED)
         except OSError as e:
             return (url, None, None, [], None, None, None, None, None, f"{type(e).__name__}: {e}")
         kind = a.headers.get("content-type", "")
@@ -180,24 +189,85 @@ def read_sitemaps(fetcher: Fetcher, site: str, named: list[str]) -> list[str]:
     return pages
 
 
-def fetch(frontier: DataFrame, options: Options, get: Callable[[str, Options], Answer] = http) -> DataFrame:
-    """(url ..) fetched; a host's pages in one task, by depth and url."""
+STATE = ", seq bigint, interval double, refused int"
+
+
+def fetch(frontier: DataFrame, options: Options, get: Callable[[str, Options], Answer] = http, refused: int = 0) -> DataFrame:
+    """(url ..) fetched; a host's pages in one task, the most important first (rank, depth, url).
+
+    seq, interval and refused say in what state a host's requests ended.  Once a host
+    refuses, its other pages are not asked for and have no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fetchers: dict[str, Fetcher] = {}
+        stopped: set[str] = set()
+        seq = 0
+        for b in batches:
+            rows = []
+            for u in b["url"]:
+                host = urlsplit(u).netloc
+                if host in stopped:
+                    continue
+                f = fetchers.setdefault(host, Fetcher(options, get, refused=refused))
+                row = f.row(u)
+                if row[-1] == BLOCKED:
+                    stopped.add(host)
+                rows.append((*row, seq, f.interval, f.refused))
+                seq += 1
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in (FETCHED + STATE).split(", ")])
+
+    order = [*(["rank"] if "rank" in frontier.columns else []), F.size(urls.segments(F.col("url"))), "url"]
+    placed = frontier.repartition(urls.host(F.col("url"))).sortWithinPartitions(*order)
+    return placed.select("url").mapInPandas(run, FETCHED + STATE)
+
+
+def probe(sources: DataFrame, options: Options, get: Callable[[str, Options], Answer] = head) -> DataFrame:
+    """(src, bytes): the Content-Length of each distinct src, asked for once; null where it can't be had."""
+
+    def size(f: Fetcher, src: str) -> int | None:
+        try:
+            return int(f.request(src).headers.get("content-length") or 0)
+        except (OSError, ValueError, CrawlBlocked):
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fetchers: dict[str, Fetcher] = {}
         for b in batches:
-            rows = [fetchers.setdefault(urlsplit(u).netloc, Fetcher(options, get)).row(u) for u in b["url"]]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FETCHED.split(", ")])
+            found = [size(fetchers.setdefault(urlsplit(s).netloc, Fetcher(options, get)), s) for s in b["src"]]
+            yield pd.DataFrame({"src": b["src"], "bytes": pd.array(found, dtype="Int64")})
 
-    placed = frontier.repartition(urls.host(F.col("url"))).sortWithinPartitions("url")
-    return placed.select("url").mapInPandas(run, FETCHED)
+    return sources.select("src").filter("src is not null").distinct().repartition(urls.host(F.col("src"))).sortWithinPartitions("src").mapInPandas(run, "src string, bytes bigint")
 
 
-def crawl(spark: SparkSession, start: str, options: Options = Options(), get: Callable[[str, Options], Answer] = http, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pages, sitemap): fetched pages with depth, discovered_by and in_sitemap; the sitemap's urls."""
+def _levels(spark: SparkSession, folder: str) -> int:
+    """How many levels a folder holds in full."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while True:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{n:05d}/_SUCCESS")
+        if not path.getFileSystem(conf).exists(path):
+            return n
+        n += 1
+
+
+def was_blocked(pages: DataFrame) -> bool:
+    return not pages.filter(F.col("error") == BLOCKED).isEmpty()
+
+
+def crawl(
+    spark: SparkSession, start: str, options: Options = Options(), get: Callable[[str, Options], Answer] = http, folder: str | None = None, stop: Callable[[], bool] = lambda: False, recrawl: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(pages, sitemap): fetched pages with depth, discovered_by and in_sitemap; the sitemap's urls.
+
+    folder: where the levels are; those that are there already are kept, but for recrawl.
+    stop is asked before each level; what there is until then is the result.  A level in
+    which the site refused is the last one (see was_blocked); the refused pages are asked
+    for again when the crawl goes on.
+    """
     from quarry.operators import extract, store
 
-    folder = folder or f"{store.shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    folder = (folder or f"{store.shared_dir(spark)}/crawl-{uuid.uuid4().hex}") + (f"/again-{uuid.uuid4().hex}" if recrawl else "")
     fetcher = Fetcher(options, get)
     rules, named = read_robots(fetcher, start)
     if delay := rules.crawl_delay(options.user_agent):
@@ -218,28 +288,46 @@ def crawl(spark: SparkSession, start: str, options: Options = Options(), get: Ca
 
         return scoped.mapInPandas(permitted, scoped.schema)
 
+    def fetched(n: int) -> DataFrame:
+        return spark.read.parquet(*(f"{folder}/{i:05d}" for i in range(n)))
+
     first = spark.createDataFrame([(start,)], "url string").select(urls.normalize(u).alias("url"), F.lit(0).alias("rank"), F.lit("start").alias("discovered_by"))
-    frontier = first.unionByName(sitemap.select("url", F.lit(2).alias("rank"), F.lit("sitemap").alias("discovered_by")))
-    depth, taken = 0, 0
-    while True:
-        seen = spark.read.parquet(f"{folder}/*") if depth else None
+    first = first.unionByName(sitemap.select("url", F.lit(2).alias("rank"), F.lit("sitemap").alias("discovered_by")))
+    depth = _levels(spark, folder)
+    interval, refused = fetcher.interval, 0
+    while not stop():
+        frontier, taken = first, 0
+        if depth:
+            done = fetched(depth)
+            if not options.follow_links and done.filter(F.col("error") == BLOCKED).isEmpty():
+                break
+            back = 2 if was_blocked(done) else 1  # a refused level leaves pages that the one before names
+            links = extract.link_table(extract.page_table(done.filter(F.col("depth") >= depth - back).select("url", "html")))
+            frontier = first.unionByName(links.filter("internal").select(F.col("target").alias("url"), F.lit(1).alias("rank"), F.lit("link").alias("discovered_by")).distinct())
+            # what was refused, and what was left when it was, comes again
+            again = done.filter(F.col("error") == BLOCKED).select("url", F.lit(0).alias("rank"), "discovered_by")
+            frontier = frontier.unionByName(again)
+            known = done.filter(F.coalesce(F.col("error") != BLOCKED, F.lit(True))).select("url")
+            last = done.filter(F.col("depth") == depth - 1).agg(F.count("*").alias("n"), F.max("interval").alias("interval"), F.max_by("refused", "seq").alias("refused")).first()
+            taken = known.count()
+            interval, refused = max(interval, last.interval or 0.0), 0 if was_blocked(done) else last.refused or 0
+        if taken >= options.max_urls or (options.max_depth and depth > options.max_depth):
+            break
         todo = crawlable(frontier).groupBy("url").agg(F.min_by("discovered_by", "rank").alias("discovered_by"), F.min("rank").alias("rank"))
-        if seen is not None:
-            todo = todo.join(seen.select("url"), "url", "left_anti")
-        todo = todo.orderBy("rank", F.size(urls.segments(u)), "url").limit(options.max_urls - taken).persist()
-        n = todo.count()
-        if n == 0:
-            todo.unpersist()
+        if depth:
+            todo = todo.join(known, "url", "left_anti")
+        todo = store.written(todo.orderBy("rank", F.size(urls.segments(u)), "url").limit(options.max_urls - taken), "frontier")
+        if todo.isEmpty():
             break
-        fetched = fetch(todo, options, get).join(todo, "url").withColumn("depth", F.lit(depth))
-        fetched.drop("rank").write.parquet(f"{folder}/{depth:05d}")
-        todo.unpersist()
-        taken, depth = taken + n, depth + 1
-        if taken >= options.max_urls or (options.max_depth and depth > options.max_depth) or not options.follow_links:
+        level = fetch(todo, replace(options, delay=interval), get, refused).join(todo, "url").withColumn("depth", F.lit(depth)).drop("rank")
+        level.write.mode("overwrite").parquet(f"{folder}/{depth:05d}")
+        depth += 1
+        if was_blocked(spark.read.parquet(f"{folder}/{depth - 1:05d}")):
             break
-        level = spark.read.parquet(f"{folder}/{depth - 1:05d}").select("url", "html")
-        links = extract.link_table(extract.page_table(level))
-        frontier = links.filter("internal").select(F.col("target").alias("url"), F.lit(1).alias("rank"), F.lit("link").alias("discovered_by")).distinct()
-    pages = spark.read.parquet(f"{folder}/*")
+    if not depth:
+        pages = spark.createDataFrame([], FETCHED + STATE + ", discovered_by string, depth int")
+    else:
+        w = Window.partitionBy("url").orderBy(F.desc("depth"))  # of a page that was refused, then fetched, the last
+        pages = fetched(depth).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
     flags = sitemap.withColumn("in_sitemap", F.lit(True))
-    return pages.join(flags, "url", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False))), sitemap
+    return pages.drop("seq", "interval", "refused").join(flags, "url", "left").withColumn("in_sitemap", F.coalesce("in_sitemap", F.lit(False))), sitemap
