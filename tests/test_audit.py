@@ -62,7 +62,7 @@ def test_audit(spark, done):
     html = next(x for x in os.listdir(at) if x.endswith(".html"))
     assert "Oversized images" in (at / html).read_text()
     summary = {(r.part, r.label): r for r in spark.read.parquet(f"{at}/sheets/summary").collect()}
-    assert summary["total", "total_urls"].value == "5" and summary["status", "4xx"].value == "1" and summary["category", "images"].note == "60%" and ("finding", "Broken internal links") in summary
+    assert summary["total", "total_urls"].value == "5" and summary["status", "4xx"].value == "1" and summary["category", "images"].note == "80%" and ("finding", "Broken internal links") in summary
     cells = {r.url: json.loads(r.cells) for r in spark.read.parquet(f"{at}/sheets/cells").collect()}
     assert {"column": "status", "severity": "HIGH"} in cells["https://t.com/gone"]
 
