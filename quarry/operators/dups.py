@@ -27,6 +27,7 @@ def simhash(tokens: list[str]) -> int:
 
 def with_simhash(df: DataFrame, tokens_col: str) -> DataFrame:
     """df with simhash, in place of a column of that name."""
+    store.prepare(df.sparkSession)
     df = df.drop("simhash")
     at = df.columns.index(tokens_col)
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dom, text, urls
 
+from . import store
+
 # Where the main content is looked for, what a rendered review looks like, headings of templates.
 REVIEW_TOKENS = {"jdgm-rev", "spr-review", "review-item", "review__item", "review-card", "loox-review", "yotpo-review", "okendo-review", "stamped-review", "r--review"}
 REVIEW_PREFIXES = ("jdgm-rev--", "review-item--", "review__item--")
@@ -204,10 +206,12 @@ FACTS = (
 
 
 def read_facts(pages: DataFrame) -> DataFrame:
-    """pages (url, html and any others) with f, the facts, and parse_error; both null for other content."""
+    """pages (url, html and any others) with f, the facts, and parse_error, in place of columns of these names; both null for other content."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
+    store.prepare(pages.sparkSession)
+    pages = pages.drop("f", "parse_error")
     u, h = pages.columns.index("url"), pages.columns.index("html")
     kind = to_arrow_type(_parse_datatype_string(FACTS))
 
@@ -333,11 +337,16 @@ def is_furniture(heading: Column, phrases: list[str] = FURNITURE) -> Column:
     return F.exists(F.array(*map(F.lit, phrases)), lambda p: (t == p) | F.startswith(t, F.concat(p, F.lit(" "))))
 
 
+#: Names that the page table uses on the way.
+STEPS = {"html", "f", "parse_error", "roles", "alternates", "subheads", "robots_source", "hero"}
+
+
 def page_table(pages: DataFrame, lang: str = "en", furniture: list[str] = FURNITURE) -> DataFrame:
     """The page table of (url, html) with whatever the crawl knows.
 
     Columns that a crawl gives are used if there: status, x_robots_tag, in_sitemap,
-    discovered_by, depth, redirect_chain, error, size_bytes, response_ms.
+    discovered_by, depth, redirect_chain, error, size_bytes, response_ms.  Other columns
+    are kept, but for those whose names (in any case) the table makes itself or its steps use.
     """
     have = set(pages.columns)
     given = lambda name, default: F.col(name) if name in have else default
@@ -370,8 +379,7 @@ def page_table(pages: DataFrame, lang: str = "en", furniture: list[str] = FURNIT
     hero = hero_place(F.col("roles"))
     p = p.withColumn("hero", hero).withColumn("h1", F.get(h1, F.lit(0))["text"])
     state = F.when(F.col("canonical").isNull(), "missing").when(~urls.same_site(F.col("canonical"), url), "cross-domain").when(urls.dedupe_key(F.col("canonical")) == urls.dedupe_key(url), "self").otherwise("other")
-    out = p.select(
-        *(c for c in pages.columns if c not in ("html", "status", "error", "in_sitemap", "discovered_by", "depth", "redirect_chain")),
+    made = [
         "status", "error", "in_sitemap", "discovered_by", "depth", "redirect_chain", F.size("redirect_chain").alias("redirect_hops"),
         "title", F.coalesce(F.length("title"), F.lit(0)).alias("title_length"), length_issue(F.col("title"), TITLE_RANGE).alias("title_issue"),
         "meta_description", F.coalesce(F.length("meta_description"), F.lit(0)).alias("meta_description_length"), length_issue(F.col("meta_description"), DESCRIPTION_RANGE).alias("meta_description_issue"),
@@ -396,7 +404,9 @@ def page_table(pages: DataFrame, lang: str = "en", furniture: list[str] = FURNIT
         F.col("f.product.availability").alias("availability"), F.col("f.product.group_id").alias("product_group_id"), F.col("f.product.rating").alias("rating_value"),
         F.col("f.product.reviews").alias("review_schema_count"), F.col("f.review_blocks").alias("review_onpage_count"), review_suspicious(F.col("f.product.reviews"), F.col("f.review_blocks")).alias("review_suspicious"), review_reason(F.col("f.product.reviews"), F.col("f.review_blocks")).alias("review_reason"),
         (F.coalesce(F.substring_index("f.html_lang", "-", 1), F.lit(lang)) != lang).alias("spellcheck_skipped"), F.col("f.spell_text").alias("spell_text"), F.col("f.body").alias("body"),
-    )
+    ]
+    own = {c.lower() for c in p.select(*made).columns} | STEPS
+    out = p.select(*(f"`{c}`" for c in pages.columns if c.lower() not in own), *made)
     total, furnished = F.size("furniture_headings") + F.size("content_headings"), F.size("furniture_headings")
     unmarked = (total > 0) & (furnished / total >= 0.5) & (total <= 3) & (F.size("content_headings") < 5)
     indexable = (F.col("status") == 200) & ~F.coalesce("noindex", F.lit(False)) & F.col("canonical_state").isin("self", "missing") & F.col("error").isNull()

@@ -1,11 +1,25 @@
-"""Tables that cut a plan: written to the folder that driver and executors share."""
+"""What passes through Python workers needs, and tables that cut a plan: written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Python workers import this library from here where it is not installed.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let Python workers find the library, and bound Arrow batches by bytes, since one page may be far longer than the usual one."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{ROOT}:{env.get('PYTHONPATH', '')}".rstrip(":")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return spark
 
 
 def shared_dir(spark) -> str:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import urls
+from quarry.operators import store
 
 FETCHED = "url string, status int, final_url string, redirect_chain array<string>, content_type string, x_robots_tag string, html string, size_bytes bigint, response_ms int, error string"
 BLOCKED = "blocked"
@@ -218,6 +219,7 @@ def fetch(frontier: DataFrame, options: Options, get: Callable[[str, Options], A
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in (FETCHED + STATE).split(", ")])
 
     order = [*(["rank"] if "rank" in frontier.columns else []), F.size(urls.segments(F.col("url"))), "url"]
+    store.prepare(frontier.sparkSession)
     placed = frontier.repartition(urls.host(F.col("url"))).sortWithinPartitions(*order)
     return placed.select("url").mapInPandas(run, FETCHED + STATE)
 
@@ -237,6 +239,7 @@ def probe(sources: DataFrame, options: Options, get: Callable[[str, Options], An
             found = [size(fetchers.setdefault(urlsplit(s).netloc, Fetcher(options, get)), s) for s in b["src"]]
             yield pd.DataFrame({"src": b["src"], "bytes": pd.array(found, dtype="Int64")})
 
+    store.prepare(sources.sparkSession)
     return sources.select("src").filter("src is not null").distinct().repartition(urls.host(F.col("src"))).sortWithinPartitions("src").mapInPandas(run, "src string, bytes bigint")
 
 

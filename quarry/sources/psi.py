@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import store
+
 # Names of the service's metrics.
 LAB = {
     "largest-contentful-paint": "lcp_ms", "cumulative-layout-shift": "cls", "total-blocking-time": "tbt_ms",
@@ -59,4 +61,5 @@ def request(targets: DataFrame, get: Callable[[str], tuple[int, str]], gap: floa
                 rows.append((url, payload, error))
             yield pd.DataFrame(rows, columns=["url", "payload", "error"])
 
+    store.prepare(targets.sparkSession)
     return targets.select("url").coalesce(1).mapInPandas(run, "url string, payload string, error string")

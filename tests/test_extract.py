@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quarry.operators import extract, findings, site
+from quarry.operators import dups, extract, findings, site
 
 GOOD = """<html lang="en-GB"><head><title>A title that is neither short nor long</title>
 <meta name="description" content="short"><link rel="canonical" href="/products/x?utm_source=a"><meta name="viewport" content="w">
@@ -27,6 +27,19 @@ def test_page(spark):
     assert rows["https://x.com/broken"].title is None and rows["https://x.com/empty"].h1_count == 0
 
 
+def test_clashing_columns(spark):
+    """Columns that the table makes are its own; others stay, whatever their names."""
+    rows = [("https://x.com/a", GOOD, "mine", 7, 8, 9, "kept", 3), ("https://x.com/b", None, None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "url string, html string, Title string, f int, parse_error int, roles int, `a b` string, simhash int")
+    table = extract.page_table(pages)
+    assert len({c.lower() for c in table.columns}) == len(table.columns) and not {"f", "roles", "parse_error"} & set(table.columns)
+    got = {r["url"]: r for r in table.collect()}
+    assert got["https://x.com/a"]["title"] == "A title that is neither short nor long" and got["https://x.com/a"]["a b"] == "kept"
+    assert got["https://x.com/b"]["a b"] is None and got["https://x.com/b"]["title"] is None
+    printed = dups.with_simhash(table, "content").collect()
+    assert {r["url"] for r in printed} == set(got) and all(isinstance(r["simhash"], int) for r in printed)
+
+
 def test_sizes(spark):
     df = spark.createDataFrame([("(max-width: 768px) 100vw, 50vw",), ("90px",), ("10em",), (None,)], "s string")
     got = [(r.w.px, r.w.relative) for r in df.select(extract.sizes_width(F.col("s")).alias("w")).collect()]
