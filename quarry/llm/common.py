@@ -11,22 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Executors import this package by this path where it is not installed.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find the package, and bound Arrow batches by bytes.
-
-    Batches are bounded by bytes as well as rows, since one text may be far
-    longer than the usual one.
-    """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{ROOT}:{env.get('PYTHONPATH', '')}".rstrip(":")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    return spark
+from quarry.operators.store import prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
