@@ -45,14 +45,22 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     the distance differ in two bits at most in one of them.  A print has a key for each
     block as it is and with each one bit flipped; two blocks two bits apart share a key,
     so an equi-join finds all pairs, and chance brings few others together (blocks of 21
-    bits at the usual distance).  Equal prints are one before that; all their pairs are
-    in the result, which near_clusters() does without.
+    bits at the usual distance).  A pair that meets under several keys counts under one:
+    in the first block that is near enough, the smaller print's own block, with the lowest
+    odd bit flipped where two differ.  Equal prints are one before that; all their pairs
+    are in the result, which near_clusters() does without.
+
+    Sizes are guessed from the files, which know nothing of the keys; merged() keeps what
+    looks small away from the driver.
     """
     blocks = distance // 3 + 1
     cut = [64 * i // blocks for i in range(blocks + 1)]
 
+    def part(print_: Column | str, a: int, b: int) -> Column:
+        return F.shiftrightunsigned(print_, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+
     def keys(a: int, b: int) -> Column:
-        own = F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
+        own = part("simhash", a, b)
         flips = [0, *((1 << i) - (1 << 64 if i == 63 else 0) for i in range(b - a))]
         return F.transform(F.array(*(F.lit(m).cast("bigint") for m in flips)), lambda m: own.bitwiseXOR(m))
 
@@ -60,13 +68,23 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     keyed = distinct.select("simhash", F.posexplode(F.array(*(keys(*x) for x in pairwise(cut)))).alias("block", "keys")).select("simhash", "block", F.explode("keys").alias("key"))
     x, y = keyed.select(F.col("simhash").alias("x"), "block", "key"), keyed.select(F.col("simhash").alias("y"), "block", "key")
     apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    met = x.join(y, ["block", "key"]).filter((F.col("x") < F.col("y")) & (apart <= distance)).select("x", "y", apart.alias("distance")).distinct()
+    once = F.lit(False)
+    for n, (i, j) in reversed(list(enumerate(pairwise(cut)))):
+        own, odd = part(F.col("x"), i, j), part(F.col("x").bitwiseXOR(F.col("y")), i, j)
+        two = F.when(F.bit_count(odd) == 2, odd.bitwiseAND(F.negative(odd))).otherwise(F.lit(0))
+        once = F.when(F.bit_count(odd) <= 2, (F.col("block") == n) & (F.col("key") == own.bitwiseXOR(two))).otherwise(once)
+    met = merged(x, y, ["block", "key"]).filter((F.col("x") < F.col("y")) & (apart <= distance) & once).select("x", "y", apart.alias("distance"))
     a, b = prints.select(F.col("id").alias("a"), F.col("simhash").alias("x")), prints.select(F.col("id").alias("b"), F.col("simhash").alias("y"))
-    far = met.join(a, "x").join(b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
-    same = a.join(b.withColumnRenamed("y", "x"), "x").filter("a < b").select("a", "b", F.lit(0).alias("distance"))
+    far = merged(merged(met, a, "x"), b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    same = merged(a, b.withColumnRenamed("y", "x"), "x").filter("a < b").select("a", "b", F.lit(0).alias("distance"))
     return far.unionByName(same)
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """left joined with right, sorted and merged: never sent whole to the driver and every executor, however small it looks."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_clusters(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(id, leader) of every id that is near another: as leaders() of near_pairs() gives them.
 
@@ -76,7 +94,7 @@ def near_clusters(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rows = prints.select("id", "simhash")
     prime = rows.groupBy("simhash").agg(F.min("id").alias("prime"), F.count("*").alias("n"))
     led = leaders(near_pairs(prime.select(F.col("prime").alias("id"), "simhash"), distance)).select(F.col("id").alias("prime"), "leader")
-    return rows.join(prime, "simhash").join(led, "prime", "left").select("id", F.coalesce("leader", F.when(F.col("n") > 1, F.col("prime"))).alias("leader")).filter("leader is not null")
+    return merged(merged(rows, prime, "simhash"), led, "prime", "left").select("id", F.coalesce("leader", F.when(F.col("n") > 1, F.col("prime"))).alias("leader")).filter("leader is not null")
 
 
 def leaders(pairs: DataFrame) -> DataFrame:
@@ -91,12 +109,12 @@ def leaders(pairs: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(store.shared_dir(spark))
     left, out = pairs.select("a", "b").checkpoint(), None
     for n in count(1):
-        heads = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
-        got = left.join(heads, "a").groupBy("b").agg(F.min("a").alias("leader")).select(F.col("b").alias("id"), "leader").unionByName(heads.select(F.col("a").alias("id"), F.col("a").alias("leader")))
+        heads = merged(left.select("a").distinct(), left.select(F.col("b").alias("a")), "a", "left_anti")
+        got = merged(left, heads, "a").groupBy("b").agg(F.min("a").alias("leader")).select(F.col("b").alias("id"), "leader").unionByName(heads.select(F.col("a").alias("id"), F.col("a").alias("leader")))
         got = got.checkpoint()
         out = got if out is None else out.unionByName(got)
         out = out if n % 50 else out.checkpoint()
         gone = got.select("id")
-        left = left.join(gone, left["a"] == gone["id"], "left_anti").join(gone, left["b"] == gone["id"], "left_anti").checkpoint()
+        left = merged(merged(left, gone, left["a"] == gone["id"], "left_anti"), gone, left["b"] == gone["id"], "left_anti").checkpoint()
         if left.isEmpty():
             return out
