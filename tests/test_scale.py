@@ -1,5 +1,7 @@
 """Plans and work that must not change with the size of the tables."""
 
+import random
+
 from quarry.operators import dups
 
 
@@ -24,3 +26,16 @@ def test_near_clusters_send_no_table_to_the_driver(spark, tmp_path):
         dups.merged = merged
     assert len(steps) > 6 and not [s for s in [*steps, got] if "Broadcast" in plan(s)]
     assert got.count() == 400
+
+
+def test_near_pairs_meet_once_without_a_broadcast(spark, tmp_path):
+    r = random.Random(5)
+    base = [r.getrandbits(64) - (1 << 63) for _ in range(12)]
+    bit = lambda p: (1 << p) - (1 << 64 if p == 63 else 0)
+    rows = [(i, b ^ sum(bit(p) for p in r.sample(range(64), r.choice([0, 1, 1, 2, 5, 9])))) for i, b in enumerate(base * 6)]
+    prints = stored(spark, tmp_path, rows, "id bigint, simhash bigint")
+    for distance in (0, 2, 8):
+        pairs = dups.near_pairs(prints, distance)
+        assert "Broadcast" not in plan(pairs)
+        want = sorted((a, b, ((x ^ y) & (1 << 64) - 1).bit_count()) for a, x in rows for b, y in rows if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= distance)
+        assert sorted((p.a, p.b, p.distance) for p in pairs.collect()) == want
