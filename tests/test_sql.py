@@ -33,6 +33,10 @@ def test_dup_titles_of_titles_cut_short(spark, cut_short):
     assert differences(spark, cut_short, "dup_titles") == []
 
 
+def test_findings_rules_of_titles_cut_short(spark, cut_short):
+    assert differences(spark, cut_short, "findings_rules") == []
+
+
 @pytest.mark.parametrize("html", ["<p>a &amp b</p>", "<script>a&amp&b</script>", '<a href="?a=1&copy=2">x</a>', "﷐ &x"])
 def test_text_and_attributes_keep_loose_ampersands(html):
     from quarry.functions import dom
