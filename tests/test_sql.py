@@ -41,6 +41,10 @@ def test_heading_check_of_headings_cut_short(spark, cut_short):
     assert differences(spark, cut_short, "heading_check") == []
 
 
+def test_title_check_of_titles_cut_short(spark, cut_short):
+    assert differences(spark, cut_short, "title_check") == []
+
+
 @pytest.mark.parametrize("html", ["<p>a &amp b</p>", "<script>a&amp&b</script>", '<a href="?a=1&copy=2">x</a>', "﷐ &x"])
 def test_text_and_attributes_keep_loose_ampersands(html):
     from quarry.functions import dom
