@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from quarry.functions import text, urls
 
 from . import store
+from .dups import merged
 
 OWN, WEAK, MARGIN = 0.75, 0.50, 0.25
+#: Pages that one task takes on.
+SHARE = 50_000
 SLUG_WEIGHT, FIELD_WEIGHT = 3, 2
 LONG_TAIL = 4
 
@@ -71,12 +74,17 @@ def funnel(rows: DataFrame, **filters) -> DataFrame:
     return one.select(F.explode(pairs).alias("s")).select("s.*")
 
 
-def page_tokens(pages: DataFrame) -> DataFrame:
-    """(url, token, weight): the strongest field of a page that has the token."""
+def page_tokens(pages: DataFrame, n_pages: int) -> DataFrame:
+    """(url, token, weight): the strongest field of a page that has the token.
+
+    The n_pages pages are dealt by url first: however few files they come from, no task
+    takes on many, and their tokens need not be moved.
+    """
     slug = text.target_tokens(F.regexp_replace(urls.path(F.col("url")), r"[/_\-.]+", " "))
     weighed = lambda tokens, w: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight")))
     fields = F.flatten(F.array(weighed(slug, SLUG_WEIGHT), weighed(text.target_tokens(F.col("title")), FIELD_WEIGHT), weighed(text.target_tokens(F.col("h1")), FIELD_WEIGHT)))
-    return pages.select("url", F.explode(fields).alias("t")).groupBy("url", "t.token").agg(F.max("t.weight").alias("weight"))
+    few = pages.select("url", "title", "h1").repartition(n_pages // SHARE + 1, "url")
+    return few.select("url", F.explode(fields).alias("t")).groupBy("url", "t.token").agg(F.max("t.weight").alias("weight"))
 
 
 def token_weights(tokens: DataFrame, n_pages: int, idf: bool = True) -> DataFrame:
@@ -97,7 +105,7 @@ def scores(keywords: DataFrame, pages: DataFrame, idf: bool = True) -> DataFrame
     line with the weight of a token that no page has.
     """
     n = pages.count()
-    on = page_tokens(pages)
+    on = page_tokens(pages, n)
     weights = token_weights(on, n, idf)
     words = keywords.select("normalized", F.posexplode(text.target_tokens(F.col("normalized"))).alias("place", "token")).join(weights.select("token", "w"), "token", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "w"))), lambda x: x["w"])

@@ -521,7 +521,8 @@ def _demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _SQL_SHOP + " SELECT token, df, round(w, 9) AS w FROM idf")
 def token_idf(spark, sf_dir):
     pages = _shop(spark, sf_dir)
-    return keywords.token_weights(keywords.page_tokens(pages), pages.count()).select("token", "df", F.round("w", 9).alias("w"))
+    n = pages.count()
+    return keywords.token_weights(keywords.page_tokens(pages, n), n).select("token", "df", F.round("w", 9).alias("w"))
 
 
 @query("WITH " + _SQL_SHOP + " SELECT normalized, url, round(score, 6) AS score FROM scored")

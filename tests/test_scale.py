@@ -2,7 +2,7 @@
 
 import random
 
-from quarry.operators import dups
+from quarry.operators import dups, keywords
 
 
 def stored(spark, tmp_path, rows, schema):
@@ -39,3 +39,14 @@ def test_near_pairs_meet_once_without_a_broadcast(spark, tmp_path):
         assert "Broadcast" not in plan(pairs)
         want = sorted((a, b, ((x ^ y) & (1 << 64) - 1).bit_count()) for a, x in rows for b, y in rows if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= distance)
         assert sorted((p.a, p.b, p.distance) for p in pairs.collect()) == want
+
+
+def test_page_tokens_are_dealt_by_the_number_of_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keywords, "SHARE", 10)
+    rows = [(f"https://s.com/{i % 95}/red-bolts", "Red bolt", f"B {i} red") for i in range(100)]
+    pages = stored(spark, tmp_path, rows, "url string, title string, h1 string").coalesce(1)
+    on = keywords.page_tokens(pages, 100)
+    assert on.rdd.getNumPartitions() == 11
+    got = {(t.url, t.token): t.weight for t in on.collect()}
+    want = {(u, t): 3 for u, *_ in rows for t in ("red", "bolt")} | {(u, u.split("/")[3]): 3 for u, *_ in rows if len(u.split("/")[3]) > 1}
+    assert got == {**{(u, h.split()[1]): 2 for u, _, h in rows if len(h.split()[1]) > 1}, **want}
