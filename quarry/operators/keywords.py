@@ -103,15 +103,27 @@ def scores(keywords: DataFrame, pages: DataFrame, idf: bool = True) -> DataFrame
 
     Every occurrence of a token counts, and tokens that no page has count below the
     line with the weight of a token that no page has.
+
+    The pages of a common token are dealt by url into shares, to each of which its keywords
+    go; what meets is dealt by its number.  So no task grows with the pages, and nothing
+    that does is sent to the driver.
     """
     n = pages.count()
     on = page_tokens(pages, n)
-    weights = token_weights(on, n, idf)
-    words = keywords.select("normalized", F.posexplode(text.target_tokens(F.col("normalized"))).alias("place", "token")).join(weights.select("token", "w"), "token", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+    weights = store.written(token_weights(on, n, idf), "token-weights")
+    tokens = keywords.select("normalized", F.posexplode(text.target_tokens(F.col("normalized"))).alias("place", "token"))
+    words = merged(tokens, weights, "token", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "w"))), lambda x: x["w"])
     total = words.groupBy("normalized").agg(F.aggregate(ordered, F.lit(0.0), lambda a, b: a + b).alias("all"))
-    met = words.join(on, "token").groupBy("normalized", "url").agg(F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("place", "w", "weight"))), lambda x: x["w"] * x["weight"]), F.lit(0.0), lambda a, b: a + b).alias("hit"))
-    return met.join(total, "normalized").select("normalized", "url", (F.col("hit") / (F.col("all") * SLUG_WEIGHT)).alias("score"))
+    shares = (F.col("df") / SHARE).cast("int") + 1
+    common = F.broadcast(weights.filter(F.col("df") >= SHARE).select("token", shares.alias("shares")))  # few: each has so many pages
+    dealt = on.join(common, "token", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("url"), "shares"), F.lit(0)).cast("int"))
+    asked = merged(words.filter("df is not null"), total, "normalized").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    meet = words.agg(F.sum("df")).first()[0] or 0
+    met = merged(dealt, asked, ["token", "share"]).select("normalized", "url", "place", "w", "weight", "all").repartition(meet // (4 * SHARE) + 1, "normalized", "url")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("place", "w", "weight"))), lambda x: x["w"] * x["weight"])
+    hit = met.groupBy("normalized", "url").agg(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b).alias("hit"), F.max("all").alias("all"))
+    return hit.select("normalized", "url", (F.col("hit") / (F.col("all") * SLUG_WEIGHT)).alias("score"))
 
 
 def keyword_map(keywords: DataFrame, pages: DataFrame, idf: bool = True) -> DataFrame:

@@ -50,3 +50,20 @@ def test_page_tokens_are_dealt_by_the_number_of_pages(spark, tmp_path, monkeypat
     got = {(t.url, t.token): t.weight for t in on.collect()}
     want = {(u, t): 3 for u, *_ in rows for t in ("red", "bolt")} | {(u, u.split("/")[3]): 3 for u, *_ in rows if len(u.split("/")[3]) > 1}
     assert got == {**{(u, h.split()[1]): 2 for u, _, h in rows if len(h.split()[1]) > 1}, **want}
+
+
+def test_scores_are_dealt_by_what_meets(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    words = "amber bolt cork dune elm fern".split()
+    rows = [(f"https://s.com/{i}/{r.choice(words)}-{r.choice(words)}", r.choice(words), "bolt") for i in range(200)]
+    asked = [(f"{a} {b}", 1) for a in words for b in [*words, "unseen"]]
+    pages, k = stored(spark, tmp_path / "p", rows, "url string, title string, h1 string"), stored(spark, tmp_path / "k", asked, "normalized string, volume_mid bigint")
+    want = {(x.normalized, x.url): x.score for x in keywords.scores(k, pages).collect()}
+    assert len(want) > 2000 and all(score > 0 for score in want.values())
+    monkeypatch.setattr(keywords, "SHARE", 10)
+    got = keywords.scores(k, pages).cache()
+    assert {(x.normalized, x.url): x.score for x in got.collect()} == want and got.count() == len(want)
+    per_task = [x[0] for x in got.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+    assert len(per_task) > 40 and max(per_task) < 150
