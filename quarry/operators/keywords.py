@@ -127,17 +127,25 @@ def scores(keywords: DataFrame, pages: DataFrame, idf: bool = True) -> DataFrame
 
 
 def keyword_map(keywords: DataFrame, pages: DataFrame, idf: bool = True) -> DataFrame:
-    """Each keyword's owner, status and contenders; keywords: normalized and volume_mid."""
-    facts = pages.select("url", urls.page_type(F.col("url")).alias("page_type"), (F.col("product_group_id") if "product_group_id" in pages.columns else F.lit(None).cast("string")).alias("gid"))
-    s = scores(keywords, pages, idf).join(facts, "url")
-    best = s.groupBy("normalized").agg(F.max("score").alias("best"), F.min_by(F.struct("url", "page_type"), F.struct(-F.col("score"), F.col("url"))).alias("top"))
-    near = s.join(best.select("normalized", "best"), "normalized").filter((F.col("score") >= OWN) & (F.col("best") - F.col("score") <= MARGIN))
-    rivals = near.groupBy("normalized").agg(
-        F.count("*").alias("n"), F.count("gid").alias("n_gid"), F.countDistinct("gid").alias("gids"),
-        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "url", "page_type"))), lambda c: F.struct(c["url"].alias("url"), c["page_type"].alias("page_type"), F.round(-c["s"], 3).alias("score"))).alias("contenders"),
+    """Each keyword's owner, status and contenders; keywords: normalized and volume_mid.
+
+    The scores are aggregated once, where they are made; a keyword's contenders are kept as one list.
+    """
+    s = scores(keywords, pages, idf).withColumn("page_type", urls.page_type(F.col("url")))
+    if "product_group_id" in pages.columns:
+        s = merged(s, pages.groupBy("url").agg(F.max("product_group_id").alias("gid")), "url", "left")
+    else:
+        s = s.withColumn("gid", F.lit(None).cast("string"))
+    owns = F.when(F.col("score") >= OWN, F.struct((-F.col("score")).alias("s"), "url", "page_type", "gid"))
+    best = s.groupBy("normalized").agg(F.max("score").alias("best"), F.min_by(F.struct("url", "page_type"), F.struct(-F.col("score"), F.col("url"))).alias("top"), F.collect_list(owns).alias("owns"))
+    near = best.withColumn("near", F.sort_array(F.filter("owns", lambda c: F.col("best") + c["s"] <= MARGIN))).drop("owns")
+    grouped = F.filter("near", lambda c: c["gid"].isNotNull())
+    rated = near.select(
+        "normalized", "best", "top", F.size("near").alias("n"), F.size(grouped).alias("n_gid"), F.size(F.array_distinct(F.transform(grouped, lambda c: c["gid"]))).alias("gids"),
+        F.transform("near", lambda c: F.struct(c["url"].alias("url"), c["page_type"].alias("page_type"), F.round(-c["s"], 3).alias("score"))).alias("contenders"),
     )
     head = keywords.agg(F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY volume_mid)").alias("head_volume"))
-    k = keywords.select("normalized", "volume_mid").join(best, "normalized", "left").join(rivals, "normalized", "left").crossJoin(F.broadcast(head))
+    k = merged(keywords.select("normalized", "volume_mid"), rated, "normalized", "left").crossJoin(F.broadcast(head))
     one_group = (F.col("gids") == 1) & (F.col("n_gid") == F.col("n"))
     score = F.coalesce("best", F.lit(0.0))
     status = F.when((F.coalesce("n", F.lit(0)) >= 2) & ~one_group, "CANNIBAL").when(score >= OWN, "OWNED").when(score >= WEAK, "WEAK").otherwise("GAP")

@@ -67,3 +67,14 @@ def test_scores_are_dealt_by_what_meets(spark, tmp_path, monkeypatch):
     assert {(x.normalized, x.url): x.score for x in got.collect()} == want and got.count() == len(want)
     per_task = [x[0] for x in got.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
     assert len(per_task) > 40 and max(per_task) < 150
+
+
+def test_keyword_map_makes_the_scores_once(spark, tmp_path):
+    rows = [(f"https://s.com/products/red-bolt-{i % 3 + 10}", "Red bolt", "B", None if i % 2 else f"g{i % 3}") for i in range(6)]
+    k = stored(spark, tmp_path / "k", [("red bolt", 5), ("blue gear", 3)], "normalized string, volume_mid bigint")
+    pages = stored(spark, tmp_path / "p", rows, "url string, title string, h1 string, product_group_id string")
+    for p, n in ((pages, 3), (pages.drop("product_group_id").filter("url like '%-10'"), 1)):  # a url is one contender, in how many rows it may be
+        mapped = keywords.keyword_map(k, p)
+        assert plan(mapped).count("REPARTITION_BY_NUM") == 2  # pages, and what meets
+        got = {m.normalized: m for m in mapped.collect()}
+        assert (got["red bolt"].status, len(got["red bolt"].contenders), got["blue gear"].status, got["blue gear"].contenders) == ("CANNIBAL" if n > 1 else "OWNED", n, "GAP", [])
