@@ -173,6 +173,7 @@ def gap_clusters(gaps: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(store.shared_dir(spark))
     words = text.target_tokens(F.col("normalized"))
     runs = F.when(F.size(words) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, i, F.lit(2)), " ")))).otherwise(F.array().cast("array<string>"))
+    gaps = store.written(gaps.select("normalized", "volume_mid"), "gaps")  # read in each round and at the end, made once
     left = gaps.select("normalized").distinct().select("normalized", F.explode(runs).alias("run")).checkpoint()
     taken: DataFrame | None = None
     for n in count(1):

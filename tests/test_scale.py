@@ -78,3 +78,18 @@ def test_keyword_map_makes_the_scores_once(spark, tmp_path):
         assert plan(mapped).count("REPARTITION_BY_NUM") == 2  # pages, and what meets
         got = {m.normalized: m for m in mapped.collect()}
         assert (got["red bolt"].status, len(got["red bolt"].contenders), got["blue gear"].status, got["blue gear"].contenders) == ("CANNIBAL" if n > 1 else "OWNED", n, "GAP", [])
+
+
+def test_gaps_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(x):
+        made.add(1)
+        return x
+
+    gaps = spark.createDataFrame([("red bolt", 5), ("red bolt set", 3), ("gear", 1)], "k string, volume_mid bigint").select(said.asNondeterministic()("k").alias("normalized"), "volume_mid")
+    got = keywords.gap_clusters(gaps).collect()
+    assert {(g.head, g.size, g.volume) for g in got} == {("red bolt", 2, 8), ("gear", 1, 1)} and made.value == 3
