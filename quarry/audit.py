@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import Config
-from quarry.functions import text
 from quarry.operators import dups, extract, findings, keywords, report, site, spelling, store
 from quarry.sources import crawl, psi
 
@@ -30,7 +29,7 @@ class Audit:
 def analyse(spark: SparkSession, crawled: DataFrame, config: Config, sizes: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, links) with all that the findings read; sizes: (src) to (src, bytes), or none to leave images unmeasured."""
     table = extract.page_table(crawled, config.lang, config.furniture())
-    pages = store.written(dups.with_simhash(table.withColumn("_shingles", text.shingles(F.col("content"))), "_shingles").drop("_shingles"), "pages")
+    pages = store.written(dups.with_shingle_simhash(table, F.col("content")), "pages")
     links = extract.link_table(pages)
     out = site.sample_images(site.inlinks(pages, links), config.image_sample_per_template)
     if sizes is not None and config.image_head_limit:

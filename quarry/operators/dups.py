@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import count, pairwise
 
 import numpy as np
@@ -16,26 +16,52 @@ from . import store
 DISTANCE = 8
 
 
-def simhash(tokens: list[str]) -> int:
+def simhash(tokens: Iterable[bytes | memoryview | str]) -> int:
     """Bits that most tokens' digests have set, as a signed number; 0 for no tokens."""
-    if not tokens:
+    digests = [hashlib.blake2b(t.encode() if isinstance(t, str) else t, digest_size=8).digest() for t in tokens]
+    if not digests:
         return 0
-    raw = np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in tokens), np.uint8).reshape(-1, 8)
-    votes = np.unpackbits(raw, axis=1).sum(0, dtype=np.int64) * 2 - len(tokens)
+    raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
+    votes = np.unpackbits(raw, axis=1).sum(0, dtype=np.int64) * 2 - len(digests)
     return int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
 
 
-def with_simhash(df: DataFrame, tokens_col: str) -> DataFrame:
-    """df with simhash, in place of a column of that name."""
+def windows(words: bytes, n: int) -> Iterator[memoryview]:
+    """Every n words in a row of words with one blank between, uncopied; the words themselves where there are fewer."""
+    if not words:
+        return iter(())
+    blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == ord(" ")).tolist()
+    starts, ends, at = [0, *(i + 1 for i in blanks)], [*blanks, len(words)], memoryview(words)
+    return (at[i:j] for i, j in zip(starts, ends[n - 1 if len(ends) >= n else 0 :], strict=False))
+
+
+def _printed(df: DataFrame, given: str, kept: list[str], of: Callable[[pa.Array], list[int]]) -> DataFrame:
+    """kept columns of df with simhash, which of() gives for a batch of the column given."""
     store.prepare(df.sparkSession)
-    df = df.drop("simhash")
-    at = df.columns.index(tokens_col)
+    at, keep = df.columns.index(given), [df.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([*b.columns, pa.array([simhash(t or []) for t in b.column(at).to_pylist()], pa.int64())], names=[*b.schema.names, "simhash"])
+            yield pa.record_batch([*(b.column(i) for i in keep), pa.array(of(b.column(at)), pa.int64())], names=[*kept, "simhash"])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "simhash bigint"]))
+
 
-    return df.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, simhash bigint")
+def with_simhash(df: DataFrame, tokens_col: str) -> DataFrame:
+    """df with simhash, in place of a column of that name."""
+    df = df.drop("simhash")
+    return _printed(df, tokens_col, df.columns, lambda x: [simhash(t or []) for t in x.to_pylist()])
+
+
+def with_shingle_simhash(df: DataFrame, words: Column, n: int = 4, kept: list[str] | None = None) -> DataFrame:
+    """df (of it the columns kept) with simhash of text.shingles(words, n), in place of a column of that name.
+
+    Words without blanks in them: they go to Python once, joined, and their windows are cut
+    there, where the shingles themselves are n times the text.
+    """
+    kept = [c for c in kept or df.columns if c != "simhash"]
+    laid = df.select(*(F.col(f"`{c}`") for c in kept), F.array_join(words, " ").cast("binary").alias("_words"))
+    return _printed(laid, "_words", kept, lambda x: [simhash(windows(t or b"", n)) for t in x.to_pylist()])
 
 
 def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

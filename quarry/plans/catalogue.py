@@ -325,8 +325,7 @@ def near_dup_clusters(spark, sf_dir):
 
 @query()
 def simhash_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.shingles(text.content_words(F.col("text"))).alias("s"))
-    return dups.with_simhash(d, "s").select("doc_id", "simhash")
+    return dups.with_shingle_simhash(table(spark, sf_dir, "documents"), text.content_words(F.col("text")), kept=["doc_id"])
 
 
 @query(SITE_SQL + f", t AS (SELECT url, depth, {_sql_path('url')} AS p FROM audited), k AS (SELECT url, depth, array_to_string(list_transform(list_filter(string_split(p, '/'), lambda s: s <> ''), lambda s: CASE WHEN lower(s) IN ({_STRUCT}) THEN s ELSE '*' END), '/') AS template FROM t) SELECT url, row_number() OVER (PARTITION BY template ORDER BY depth, url) <= 5 AS images_sized FROM k")
@@ -654,7 +653,7 @@ def findings_rules(spark, sf_dir):
 @query()
 def findings_report(spark, sf_dir):
     pages, links = page_table(spark, sf_dir)
-    printed = dups.with_simhash(pages.withColumn("shingles", text.shingles(F.col("content"))), "shingles").drop("shingles")
+    printed = dups.with_shingle_simhash(pages, F.col("content"))
     return report.findings_sheet(findings.findings(store.written(printed, "printed"), links))
 
 

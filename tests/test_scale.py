@@ -93,3 +93,18 @@ def test_gaps_are_made_once(spark):
     gaps = spark.createDataFrame([("red bolt", 5), ("red bolt set", 3), ("gear", 1)], "k string, volume_mid bigint").select(said.asNondeterministic()("k").alias("normalized"), "volume_mid")
     got = keywords.gap_clusters(gaps).collect()
     assert {(g.head, g.size, g.volume) for g in got} == {("red bolt", 2, 8), ("gear", 1, 1)} and made.value == 3
+
+
+def test_shingles_are_cut_in_python(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import text
+
+    texts = [None, "", "!?", "one", "one two three", "One two, three four", "zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich", "a " * 900, "it's a b-c d e " * 3]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("simhash", F.lit("old"))
+    words = text.content_words(F.col("text"))
+    got = dups.with_shingle_simhash(d, words)
+    assert got.columns == ["id", "text", "simhash"] and dups.with_shingle_simhash(d, words, kept=["id"]).columns == ["id", "simhash"]
+    want = dups.with_simhash(d.withColumn("s", text.shingles(words)), "s")
+    assert {r.id: r.simhash for r in got.collect()} == {r.id: r.simhash for r in want.collect()}
+    assert "sequence(" not in plan(got)  # no window is made before Python
