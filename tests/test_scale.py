@@ -108,3 +108,27 @@ def test_shingles_are_cut_in_python(spark):
     want = dups.with_simhash(d.withColumn("s", text.shingles(words)), "s")
     assert {r.id: r.simhash for r in got.collect()} == {r.id: r.simhash for r in want.collect()}
     assert "sequence(" not in plan(got)  # no window is made before Python
+
+
+def test_report_meets_near_pages_without_a_broadcast(spark, tmp_path, monkeypatch):
+    import re
+
+    from quarry.plans import catalogue
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    base = [[word() for _ in range(90)] for _ in range(2)]
+    bodies = [b if n == 0 else [*b[:-n], *(word() for _ in range(n))] for n in range(5) for b in base]
+    rows = [(n, f"https://s.example.com/p{n}", f"<html><head><title>T{n}</title></head><body><p>{' '.join(b)}</p></body></html>") for n, b in enumerate(bodies, 10)]
+    stored(spark, tmp_path / "p", rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plans, near_pairs = [], dups.near_pairs
+    monkeypatch.setattr(dups, "near_pairs", lambda *a: plans.append(plan(p := near_pairs(*a))) or p)
+    got = {x.issue: x["count"] for x in catalogue.findings_report(spark, str(tmp_path)).collect()}
+    assert plans and not [p for p in plans if re.search(r"Broadcast\w+Join \[(block|x|y)#", p)]
+    prints = [dups.simhash(" ".join(b[i : i + 4]) for i in range(87)) for b in bodies]
+    near = lambda a, b: ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= dups.DISTANCE
+    taken = set()
+    for i in range(len(bodies)):
+        if i not in taken and (met := [j for j in range(i + 1, len(bodies)) if j not in taken and near(i, j)]):
+            taken |= {i, *met}
+    assert got["Near-duplicate content"] == len(taken) > 2
